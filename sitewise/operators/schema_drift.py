@@ -89,7 +89,7 @@ def _value_profile(lines: DataFrame, headers: DataFrame, wanted: DataFrame) -> D
     """Deciles and kinds of the values of the wanted (file_id, pos), over well-formed lines."""
     spots = wanted.select("file_id", "pos").distinct().groupBy("file_id").agg(F.collect_set("pos").alias("spots"))
     body = lines.where("line_no > 1").join(headers.join(spots, "file_id").select("file_id", "delimiter", "spots", F.size("names").alias("width")), "file_id")
-    body = body.withColumn("line", rc.clean_line(F.col("line"))).withColumn("f", rc.raw_fields(F.col("line"), F.col("delimiter")))
+    body = rc.materialised(body.withColumn("line", rc.clean_line(F.col("line"))), f=rc.raw_fields(F.col("line"), F.col("delimiter")))
     body = body.where(rc.is_well_formed(F.col("f"), F.col("line")) & (F.size("f") == F.col("width")))
     values = body.select("file_id", F.explode("spots").alias("pos"), "f").select("file_id", "pos", rc.trimmed(rc.unquote(F.get("f", F.col("pos")))).alias("v")).where(~F.col("v").isin(*rc.MISSING_WORDS))
     num = rc.number_of(F.col("v"))
@@ -134,7 +134,7 @@ def learn_aliases(lines: DataFrame, headers: DataFrame, domains: DataFrame) -> D
 def value_class(value: Column) -> Column:
     """1 whole number, 2 number with a decimal point, 3 text; null for a missing value."""
     v = rc.trimmed(value)
-    return F.when(rc.is_missing(value), None).when(~v.rlike(rc.NUMBER), 3).when(v.contains("."), 2).otherwise(1)
+    return F.when(rc.is_missing(value), None).when(rc.number_of(value).isNull(), 3).when(v.contains("."), 2).otherwise(1)
 
 
 def column_types(loaded: DataFrame) -> DataFrame:
@@ -145,7 +145,7 @@ def column_types(loaded: DataFrame) -> DataFrame:
 
 def migration_steps(cols: DataFrame, types: DataFrame) -> DataFrame:
     """Every change of a file against the file before: file_id, change_kind, old_name, new_name."""
-    typed = cols.join(types, ["file_id", "pos"], "left")
+    typed = cols.join(types, ["file_id", "pos"], "left").cache()  # one row per file and column, used for both sides
     # files is restricted to those whose previous file is known by its columns
     links = cols.select("file_id", "prev_file_id").where("prev_file_id is not null").distinct()
     links = links.join(cols.select(F.col("file_id").alias("prev_file_id")).distinct(), "prev_file_id", "left_semi")

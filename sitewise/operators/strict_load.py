@@ -31,40 +31,36 @@ def parse_specs(headers: DataFrame, cols: DataFrame, domains: DataFrame) -> Data
     return headers.select("file_id", "delimiter", F.size("names").alias("width")).join(specs, "file_id", "left")
 
 
-def breaks_domain(value: Column, spec: Column) -> Column:
-    """A value that is not missing and not in its domain."""
-    v, n = rc.trimmed(value), rc.number_of(value)
-    number_ok = n.isNotNull() & F.coalesce(n >= spec["lo"], F.lit(True)) & F.coalesce(n <= spec["hi"], F.lit(True))
-    category_ok = F.coalesce(F.array_contains(spec["numbers"], n), F.lit(False)) | F.coalesce(F.array_contains(spec["words"], v), F.lit(False))
-    return ~rc.is_missing(value) & ~F.when(spec["kind"] == "number", number_ok).otherwise(category_ok)
+def breaks_domain(value: Column, number: Column, spec: Column) -> Column:
+    """A trimmed value, with its number if it is one, that is not missing and not in its domain."""
+    number_ok = number.isNotNull() & F.coalesce(number >= spec["lo"], F.lit(True)) & F.coalesce(number <= spec["hi"], F.lit(True))
+    category_ok = F.coalesce(F.array_contains(spec["numbers"], number), F.lit(False)) | F.coalesce(F.array_contains(spec["words"], value), F.lit(False))
+    return ~value.isin(*rc.MISSING_WORDS) & ~F.when(spec["kind"] == "number", number_ok).otherwise(category_ok)
 
 
-def _cut(lines: DataFrame, specs: DataFrame, how: str) -> DataFrame:
-    body = lines.where((F.col("line_no") > 1) & (F.trim(F.regexp_replace("line", r"\s", "")) != ""))
-    body = body.select("file_id", "line_no", F.xxhash64("line").alias("text_key"), rc.clean_line(F.col("line")).alias("line"))
-    return body if how == "none" else _parsed(body, specs, how)
+def _data_lines(lines: DataFrame) -> DataFrame:
+    body = lines.where((F.col("line_no") > 1) & (rc.trimmed(F.col("line")) != ""))
+    return body.select("file_id", "line_no", F.xxhash64("line").alias("text_key"), rc.clean_line(F.col("line")).alias("line"))
 
 
 def _parsed(body: DataFrame, specs: DataFrame, how: str) -> DataFrame:
-    cut = body.join(specs, "file_id", how).withColumn("raw", rc.raw_fields(F.col("line"), F.coalesce("delimiter", F.lit(","))))
+    """Lines with quoting_ok and fields (unquoted, trimmed)."""
+    cut = rc.materialised(body.join(specs, "file_id", how), raw=rc.raw_fields(F.col("line"), F.coalesce("delimiter", F.lit(","))))
     shaped = F.coalesce(rc.is_well_formed(F.col("raw"), F.col("line")), F.lit(False))
-    return cut.withColumn("quoting_ok", shaped).withColumn("fields", F.transform("raw", rc.unquote)).drop("raw")
-
-
-def _value_ok() -> Column:
-    bad = F.exists("specs", lambda s: breaks_domain(F.get("fields", s["pos"]), s))
-    return ~F.coalesce(bad, F.lit(False))
+    return rc.materialised(cut, quoting_ok=shaped, fields=F.transform("raw", lambda x: rc.trimmed(rc.unquote(x)))).drop("raw")
 
 
 def strict_load(lines: DataFrame, specs: DataFrame) -> DataFrame:
-    """The rows that conform: file_id, line_no, text_key, fields (unquoted)."""
-    cut = _cut(lines, specs, "inner")
-    return cut.where(F.col("quoting_ok") & (F.size("fields") == F.col("width"))).where(_value_ok()).select("file_id", "line_no", "text_key", "fields")
+    """The rows that conform: file_id, line_no, text_key, fields (unquoted, trimmed)."""
+    cut = _parsed(_data_lines(lines), specs, "inner").where(F.col("quoting_ok") & (F.size("fields") == F.col("width")))
+    cut = rc.materialised(cut, numbers=F.transform("fields", rc.number_of))
+    bad = F.exists("specs", lambda s: breaks_domain(F.get("fields", s["pos"]), F.get("numbers", s["pos"]), s))
+    return cut.where(~F.coalesce(bad, F.lit(False))).select("file_id", "line_no", "text_key", "fields")
 
 
 def rejected(lines: DataFrame, specs: DataFrame, loaded: DataFrame) -> DataFrame:
     """The raw offsets that did not load, with the reason and the text: file_id, line_no, reason, line."""
-    left = _cut(lines, specs, "none").join(loaded.select("file_id", "line_no", "text_key"), ["file_id", "line_no", "text_key"], "left_anti")
+    left = _data_lines(lines).join(loaded.select("file_id", "line_no", "text_key"), ["file_id", "line_no", "text_key"], "left_anti")
     known = _parsed(left, specs, "left")
     reason = F.when(F.col("width").isNull(), "columns").when(~F.col("quoting_ok"), "quoting").when(F.size("fields") != F.col("width"), "columns").otherwise("value")
     return known.select("file_id", "line_no", reason.alias("reason"), "line")

@@ -14,8 +14,8 @@ from sitewise.sources import raw_csv as rc
 def intake(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Headers, columns, parse specs and loaded rows of a data directory."""
     files, lines, domains = (table(spark, sf_dir, t) for t in ("raw_files", "raw_lines", "field_domains"))
-    headers = rc.file_headers(files, lines)
-    cols = sd.file_columns(headers, domains, sd.learn_aliases(lines, headers, domains))
+    headers = rc.file_headers(files, lines).cache()  # one row per file
+    cols = sd.file_columns(headers, domains, sd.learn_aliases(lines, headers, domains)).cache()  # one row per file and column
     specs = sl.parse_specs(headers, cols, domains)
     return {"lines": lines, "domains": domains, "headers": headers, "cols": cols, "specs": specs, "loaded": sl.strict_load(lines, specs)}
 

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DELIMITERS = (",", ";", "\t", "|")
-NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+NUMBER_LETTERS = "0123456789+-.eE"
+BLANKS = " \t\r\n\f\v"
 MISSING_WORDS = ("", "NULL", "null", "NaN")
 
 
@@ -22,7 +23,7 @@ def clean_line(line: Column) -> Column:
 
 
 def trimmed(value: Column) -> Column:
-    return F.regexp_replace(value, r"^\s+|\s+$", "")
+    return F.trim(value, F.lit(BLANKS))
 
 
 def is_missing(value: Column) -> Column:
@@ -30,9 +31,13 @@ def is_missing(value: Column) -> Column:
 
 
 def number_of(value: Column) -> Column:
-    """The value of a plainly written number, else null. Only ASCII digits count."""
+    """The value of a plainly written number, else null. Only ASCII digits count.
+
+    A text of these letters alone that casts to double is a sign, digits with at most one point and
+    an exponent; names of special values and type suffixes contain other letters.
+    """
     v = trimmed(value)
-    return F.when(v.rlike(NUMBER), v.try_cast("double"))
+    return F.when(F.translate(v, NUMBER_LETTERS, "") == "", v.try_cast("double"))
 
 
 def detect_delimiter(header: Column) -> Column:
@@ -56,6 +61,15 @@ def raw_fields(line: Column, delimiter: Column) -> Column:
     return out
 
 
+def materialised(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with computed columns that later filters and projections reuse instead of computing them again.
+
+    The generator keeps the optimizer from copying the expressions into every place that mentions them.
+    """
+    made = F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.select("*", made)
+
+
 def is_well_formed(fields: Column, line: Column) -> Column:
     return F.length(F.array_join(fields, "")) + F.size(fields) == F.length(line) + 1
 
