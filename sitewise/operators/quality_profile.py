@@ -16,6 +16,8 @@ that has no pattern is out of range unless it is a number in range; -0.0 counts
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,10 +57,10 @@ def value_counts(spark: SparkSession, df: DataFrame, key: str, columns: list[str
     return both.groupBy(F.col("key").alias("load_id"), "column_name", "num", "text").agg(F.sum("cnt").alias("cnt"))
 
 
-def judged(counts: DataFrame, domains: DataFrame, dataset: str) -> DataFrame:
-    """Counts with value, missing, fits (the pattern) and valid."""
-    rules = domains.where(F.col("dataset") == dataset).select("column_name", F.when(~F.isnan("min_value"), F.col("min_value")).alias("lo"), F.when(~F.isnan("max_value"), F.col("max_value")).alias("hi"), "allowed_values", "pattern")
-    x = counts.join(F.broadcast(rules), "column_name", "left")  # field_domains is a fixed, narrow table
+def judged(counts: DataFrame, domains: DataFrame) -> DataFrame:
+    """Counts (with their dataset) with value, missing, fits (the pattern) and valid."""
+    rules = domains.select("dataset", "column_name", F.when(~F.isnan("min_value"), F.col("min_value")).alias("lo"), F.when(~F.isnan("max_value"), F.col("max_value")).alias("hi"), "allowed_values", "pattern")
+    x = counts.join(F.broadcast(rules), ["dataset", "column_name"], "left")  # field_domains is a fixed, narrow table
     allowed = F.filter(F.transform(F.split("allowed_values", "\\|"), rc.number_of), lambda v: v.isNotNull())
     words = F.split("allowed_values", "\\|")
     x = x.withColumn("value", F.coalesce("num", rc.number_of(F.col("text")))).withColumn("missing", F.col("num").isNull() & F.col("text").isNull())
@@ -66,14 +68,15 @@ def judged(counts: DataFrame, domains: DataFrame, dataset: str) -> DataFrame:
     fits = F.col("pattern").isNull() | F.rlike(written, F.concat(F.lit("^(?:"), F.col("pattern"), F.lit(")\\z")))
     in_range = F.coalesce(F.col("value") >= F.col("lo"), F.col("lo").isNull()) & F.coalesce(F.col("value") <= F.col("hi"), F.col("hi").isNull())
     in_list = F.col("allowed_values").isNull() | F.coalesce(F.array_contains(allowed, F.col("value")), F.lit(False)) | F.coalesce(F.array_contains(words, F.col("text")), F.lit(False))
-    return x.withColumn("fits", fits).withColumn("valid", ~F.col("missing") & fits & in_range & in_list)
+    x = x.withColumn("fits", fits).withColumn("valid", ~F.col("missing") & fits & in_range & in_list)
+    return x.select("dataset", "load_id", "column_name", "num", "text", "value", "cnt", "missing", "fits", "valid")
 
 
 def load_measures(x: DataFrame) -> DataFrame:
     """One row per load and column of what its counts say."""
     sum_if = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("cnt"))), F.lit(0))
     seen = ~F.col("missing")
-    return x.groupBy("load_id", "column_name").agg(
+    return x.groupBy("dataset", "load_id", "column_name").agg(
         F.sum("cnt").alias("n_rows"), sum_if(F.col("missing")).alias("n_missing"), F.count(F.when(seen, 1)).alias("n_distinct"),
         F.min(F.when(seen, F.col("value"))).alias("min_value"), F.max(F.when(seen, F.col("value"))).alias("max_value"),
         sum_if(seen & ~F.col("fits")).alias("n_bad_pattern"), sum_if(seen & F.col("fits") & ~F.col("valid")).alias("n_out_of_range"), sum_if(F.col("valid")).alias("n_valid"),
@@ -109,7 +112,8 @@ def distribution_distance(x: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def compared(x: DataFrame, loads: DataFrame) -> DataFrame:
     """Measures of each load beside those of the load before it (prev_* null without one) and the distance."""
-    m = load_measures(x)
+    x = x.persist()  # counts of values: read by the measures and by both sides of the comparison
+    m = load_measures(x).persist()  # one row per load and column
     now = m.join(loads.select("load_id", "prev_load_id").dropDuplicates(["load_id"]), "load_id", "left")
     old = m.select(F.col("load_id").alias("prev_load_id"), "column_name", *[F.col(c).alias(f"prev_{c}") for c in ("n_rows", "n_missing", "n_distinct", "n_valid")])
     both = now.join(old, ["prev_load_id", "column_name"], "left")
@@ -155,7 +159,8 @@ def column_summary(chunks: DataFrame) -> DataFrame:
     return whole.join(values, "column_name", "left").select("column_name", "n_chunks", "n_rows", "n_null", "min_value", "max_value", "min_text", "max_text", F.when(F.col("all_dictionary") == 1, F.coalesce("n", F.lit(0))).alias("n_distinct"))
 
 
-def profile_table(spark: SparkSession, sf_dir: str, dataset: str, columns: list[str]) -> DataFrame:
-    """``compared`` for the given columns of one disease table."""
-    counts = value_counts(spark, table(spark, sf_dir, dataset), "load_id", columns)
-    return compared(judged(counts, table(spark, sf_dir, "field_domains"), dataset), table(spark, sf_dir, "loads"))
+def profile_tables(spark: SparkSession, sf_dir: str, columns: dict[str, list[str]]) -> DataFrame:
+    """``compared`` for the given columns of disease tables, in one pass over the counts of all of them."""
+    made = [value_counts(spark, table(spark, sf_dir, d), "load_id", c).withColumn("dataset", F.lit(d)) for d, c in columns.items()]
+    counts = reduce(DataFrame.unionByName, made)
+    return compared(judged(counts, table(spark, sf_dir, "field_domains")), table(spark, sf_dir, "loads"))

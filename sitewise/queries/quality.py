@@ -23,7 +23,7 @@ def _both(make, columns: dict[str, list[str]]) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _both(lambda d, c: qp.findings(qp.profile_table(spark, sf_dir, d, c)), WATCHED)
+    return qp.findings(qp.profile_tables(spark, sf_dir, WATCHED))
 
 
 def p3_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,13 +31,10 @@ def p3_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = lambda a, b: F.round(F.try_divide(F.col(a), F.col(b)), 6)
     change = F.round(F.try_divide(F.col("distance").cast("double"), F.col("n_valid").cast("double") * F.col("prev_n_valid")), 6)
 
-    def make(dataset: str, columns: list[str]) -> DataFrame:
-        return qp.profile_table(spark, sf_dir, dataset, columns).select(
-            F.lit(dataset).alias("dataset"), "load_id", "column_name", "n_rows", "n_missing", share("n_missing", "n_rows").alias("missing_share"), "n_distinct", "min_value", "max_value", "n_bad_pattern", "n_out_of_range", "n_valid",
-            F.round(F.try_divide(F.col("n_missing"), F.col("n_rows")) - F.try_divide(F.col("prev_n_missing"), F.col("prev_n_rows")), 6).alias("missing_change"), change.alias("distribution_change"),
-        )
-
-    return _both(make, MEASURED)
+    return qp.profile_tables(spark, sf_dir, MEASURED).select(
+        "dataset", "load_id", "column_name", "n_rows", "n_missing", share("n_missing", "n_rows").alias("missing_share"), "n_distinct", "min_value", "max_value", "n_bad_pattern", "n_out_of_range", "n_valid",
+        F.round(F.try_divide(F.col("n_missing"), F.col("n_rows")) - F.try_divide(F.col("prev_n_missing"), F.col("prev_n_rows")), 6).alias("missing_change"), change.alias("distribution_change"),
+    )
 
 
 def p3_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
