@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["percentile_queries", "encoding_queries", "mixing_queries"]
+_MODULES = ["percentile_queries", "encoding_queries", "mixing_queries", "content_queries"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}
