@@ -13,7 +13,8 @@ and one join of the records that have gaps with their member's sums; complete re
 Defined results: null and NaN, and any value outside the domain, is a gap; null group, time or member is
 a level of its own without effect of its own for the member (null members share nothing); a field without
 a single valid value stays null and its mask is still set; empty input gives empty output; repeated
-records count as often as they occur; columns named like a mask are replaced.
+records count as often as they occur; columns named like a mask are replaced; names beginning with two
+underscores are kept for this operator.
 """
 
 from __future__ import annotations
@@ -62,12 +63,12 @@ class Domains:
 
 
 def _counts(d: Domains) -> list[Column]:
-    return [F.count(F.when(d.valid(f) == c, 1)).alias(f"{f}_{i}") for f, codes in d.codes.items() for i, c in enumerate(codes)]
+    return [F.count(F.when(d.valid(f) == c, 1)).alias(f"__{f}_{i}") for f, codes in d.codes.items() for i, c in enumerate(codes)]
 
 
 def _effect(cells: DataFrame, f: str, by: str, mean: float, rest: float, other: DataFrame | None, other_key: str) -> DataFrame:
     """Shrunk effects of one factor of a number, given those of the other: by, e_<by>."""
-    x = cells.select("g", "t", F.col(f"{f}_n").alias("n"), F.col(f"{f}_s").alias("s"))
+    x = cells.select("g", "t", F.col(f"__{f}_n").alias("n"), F.col(f"__{f}_s").alias("s"))
     if other is not None:
         x = x.join(other, other_key, "left").withColumn("s", F.col("s") - F.col("n") * F.coalesce(f"e_{other_key}", F.lit(0.0)))
     per = x.groupBy(by).agg(F.sum("n").alias("n"), F.sum(F.col("s") - F.col("n") * mean).alias("d")).where("n > 0")
@@ -82,22 +83,22 @@ def _baselines(cells: DataFrame, d: Domains) -> DataFrame:
     sums = cells.agg(*[F.sum(c).alias(c) for c in cells.columns if c not in ("g", "t")]).first().asDict()
     out = cells.select("g", "t", *[c for c in cells.columns if c not in ("g", "t")])
     for f in d.ranges:
-        n = sums[f"{f}_n"] or 0
+        n = sums[f"__{f}_n"] or 0
         if not n:
-            out = out.withColumn(f"base_{f}", F.lit(None).cast("double"))
+            out = out.withColumn(f"__base_{f}", F.lit(None).cast("double"))
             continue
-        mean = sums[f"{f}_s"] / n
-        within = cells.where(F.col(f"{f}_n") > 0).agg(F.sum(F.col(f"{f}_ss") - F.col(f"{f}_s") * F.col(f"{f}_s") / F.col(f"{f}_n")), F.count("*")).first()
+        mean = sums[f"__{f}_s"] / n
+        within = cells.where(F.col(f"__{f}_n") > 0).agg(F.sum(F.col(f"__{f}_ss") - F.col(f"__{f}_s") * F.col(f"__{f}_s") / F.col(f"__{f}_n")), F.count("*")).first()
         rest = max(within[0], 0.0) / max(n - within[1], 1)
         group = _effect(cells, f, "g", mean, rest, None, "t")
         time = _effect(cells, f, "t", mean, rest, group, "g")
         group = _effect(cells, f, "g", mean, rest, time, "t")
-        out = out.join(group, "g", "left").join(time, "t", "left").withColumn(f"base_{f}", mean + F.coalesce("e_g", F.lit(0.0)) + F.coalesce("e_t", F.lit(0.0))).drop("e_g", "e_t")
+        out = out.join(group, "g", "left").join(time, "t", "left").withColumn(f"__base_{f}", mean + F.coalesce("e_g", F.lit(0.0)) + F.coalesce("e_t", F.lit(0.0))).drop("e_g", "e_t")
     for f, codes in d.codes.items():
-        names = [f"{f}_{i}" for i in range(len(codes))]
+        names = [f"__{f}_{i}" for i in range(len(codes))]
         n = sum(sums[c] or 0 for c in names)
         if not n:
-            out = out.withColumn(f"prior_{f}", F.lit(None).cast("array<double>"))
+            out = out.withColumn(f"__prior_{f}", F.lit(None).cast("array<double>"))
             continue
         share = [(sums[c] or 0) / n for c in names]
 
@@ -109,8 +110,8 @@ def _baselines(cells: DataFrame, d: Domains) -> DataFrame:
         out = out.join(shrunk("g", "pg"), "g", "left").join(shrunk("t", "pt"), "t", "left")
         raw = [F.get("pg", F.lit(i)) * F.get("pt", F.lit(i)) / s if s else F.lit(0.0) for i, s in enumerate(share)]
         out = out.withColumn("raw", F.array(*raw)).withColumn("sum_raw", F.aggregate("raw", F.lit(0.0), lambda a, x: a + x))
-        out = out.withColumn(f"prior_{f}", F.transform("raw", lambda x: x / F.col("sum_raw"))).drop("pg", "pt", "raw", "sum_raw")
-    return out.select("g", "t", *[f"base_{f}" for f in d.ranges], *[f"prior_{f}" for f in d.codes])
+        out = out.withColumn(f"__prior_{f}", F.transform("raw", lambda x: x / F.col("sum_raw"))).drop("pg", "pt", "raw", "sum_raw")
+    return out.select("g", "t", *[f"__base_{f}" for f in d.ranges], *[f"__prior_{f}" for f in d.codes])
 
 
 def fill_missing(df: DataFrame, d: Domains, record: str, group: str, member: str, time: str, only_gaps: bool = False) -> DataFrame:
@@ -122,18 +123,18 @@ def fill_missing(df: DataFrame, d: Domains, record: str, group: str, member: str
     any_gap = reduce(lambda a, b: a | b, gaps.values())
     g, t = F.coalesce(F.col(group).cast("string"), F.lit("")), F.coalesce(F.date_format(time, "yyyy-MM"), F.lit(""))
     keyed = df.withColumns({"__g": g, "__t": t})
-    cells = keyed.groupBy(F.col("__g").alias("g"), F.col("__t").alias("t")).agg(*_counts(d), *[x for f in d.ranges for x in (F.count(d.valid(f)).alias(f"{f}_n"), F.sum(d.valid(f)).alias(f"{f}_s"), F.sum(d.valid(f) * d.valid(f)).alias(f"{f}_ss"))])
+    cells = keyed.groupBy(F.col("__g").alias("g"), F.col("__t").alias("t")).agg(*_counts(d), *[x for f in d.ranges for x in (F.count(d.valid(f)).alias(f"__{f}_n"), F.sum(d.valid(f)).alias(f"__{f}_s"), F.sum(d.valid(f) * d.valid(f)).alias(f"__{f}_ss"))])
     cells = cut_lineage(cells.na.fill(0))
-    base = broadcast_if_small(cut_lineage(_baselines(cells, d)).select(F.col("g").alias("__g"), F.col("t").alias("__t"), *[f"base_{f}" for f in d.ranges], *[f"prior_{f}" for f in d.codes]))
+    base = broadcast_if_small(cut_lineage(_baselines(cells, d)).select(F.col("g").alias("__g"), F.col("t").alias("__t"), *[f"__base_{f}" for f in d.ranges], *[f"__prior_{f}" for f in d.codes]))
 
     # members: counts of categories, and number, sum and square sum of residuals
-    residual = {f: d.valid(f) - F.col(f"base_{f}") for f in d.ranges}
-    known = keyed.where(F.col(member).isNotNull()).join(base.select("__g", "__t", *[f"base_{f}" for f in d.ranges]), ["__g", "__t"])
-    members = known.groupBy(F.col(member).alias("__m")).agg(*_counts(d), *[x for f in d.ranges for x in (F.count(residual[f]).alias(f"{f}_n"), F.sum(residual[f]).alias(f"{f}_s"), F.sum(residual[f] * residual[f]).alias(f"{f}_ss"))])
+    residual = {f: d.valid(f) - F.col(f"__base_{f}") for f in d.ranges}
+    known = keyed.where(F.col(member).isNotNull()).join(base.select("__g", "__t", *[f"__base_{f}" for f in d.ranges]), ["__g", "__t"])
+    members = known.groupBy(F.col(member).alias("__m")).agg(*_counts(d), *[x for f in d.ranges for x in (F.count(residual[f]).alias(f"__{f}_n"), F.sum(residual[f]).alias(f"__{f}_s"), F.sum(residual[f] * residual[f]).alias(f"__{f}_ss"))])
     members = members.persist()
     ratio = {}
     for f in d.ranges:
-        n, s, ss = F.col(f"{f}_n"), F.col(f"{f}_s"), F.col(f"{f}_ss")
+        n, s, ss = F.col(f"__{f}_n"), F.col(f"__{f}_s"), F.col(f"__{f}_ss")
         a = members.where(n > 0).agg(F.sum(n), F.count("*"), F.sum(s), F.sum(ss - s * s / n), F.sum(s * s / n), F.sum(n * n)).first()
         ratio[f] = None
         if a[0] and a[1] > 1 and a[0] > a[1]:
@@ -146,12 +147,13 @@ def fill_missing(df: DataFrame, d: Domains, record: str, group: str, member: str
     holes = keyed.where(any_gap).withColumn("__m", F.col(member)).join(base, ["__g", "__t"], "left").join(members, "__m", "left")
     filled = {}
     for f in d.ranges:
-        own = F.lit(0.0) if ratio[f] is None else F.coalesce(F.col(f"{f}_s") / (F.col(f"{f}_n") + ratio[f]), F.lit(0.0))
-        filled[f] = F.least(F.greatest(F.col(f"base_{f}") + own, F.lit(d.ranges[f][0])), F.lit(d.ranges[f][1]))
+        own = F.lit(0.0) if ratio[f] is None else F.coalesce(F.col(f"__{f}_s") / (F.col(f"__{f}_n") + ratio[f]), F.lit(0.0))
+        inside = F.least(F.greatest(F.col(f"__base_{f}") + own, F.lit(d.ranges[f][0])), F.lit(d.ranges[f][1]))
+        filled[f] = F.when(F.col(f"__base_{f}").isNotNull(), inside)
     for f, codes in d.codes.items():
-        scored = [F.struct((F.coalesce(F.col(f"{f}_{i}"), F.lit(0)) + MEMBER_WEIGHT * F.get(f"prior_{f}", F.lit(i))).alias("w"), F.lit(-c).alias("c")) for i, c in enumerate(codes)]
+        scored = [F.struct((F.coalesce(F.col(f"__{f}_{i}"), F.lit(0)) + MEMBER_WEIGHT * F.get(f"__prior_{f}", F.lit(i))).alias("w"), F.lit(-c).alias("c")) for i, c in enumerate(codes)]
         best = F.greatest(*scored) if len(scored) > 1 else scored[0]
-        filled[f] = F.when(F.col(f"prior_{f}").isNotNull(), -best["c"])
+        filled[f] = F.when(F.col(f"__prior_{f}").isNotNull(), -best["c"])
     plain = [c for c in df.columns if not (c.endswith(MASK) and c.removesuffix(MASK) in gaps)]
     q = lambda c: F.col(f"`{c}`")
     done = holes.select(*[F.coalesce(d.valid(c), filled[c]).alias(c) if c in gaps else q(c) for c in plain], *[gaps[f].alias(f + MASK) for f in gaps])
