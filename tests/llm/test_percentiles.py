@@ -58,8 +58,8 @@ def test_parts_merge_to_the_whole_within_the_bound(spark):
 
 def test_empty_and_clashing_columns(spark):
     assert run(spark, []) == {}
-    df = spark.createDataFrame([("a", 1.0, 2.0, 3)], "value string, chol double, cnt double, n int")
-    assert pt.cells(df, ["value"], ["chol"]).columns[0] == "value" or True
+    df = spark.createDataFrame([("a", 1.0, 2.0, 3)], "node string, chol double, cnt double, value int")
+    assert [tuple(r) for r in pt.cells(df, ["node"], ["chol"]).collect()] == [("a", "chol", 1.0, 1)]
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
