@@ -6,7 +6,7 @@ import gzip
 import struct
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,24 +110,22 @@ def headers(spark: SparkSession, path: str) -> DataFrame:
     """One row per image file below a directory; files that cannot be read carry the error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(ends_with(F.lower("path"), DICOM + NIFTI + RASTER))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in HEADER_SCHEMA.split(", ")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
+        schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in HEADER_SCHEMA.split(", ")])
         for b in batches:
             rows = []
-            for r in b.itertuples():
-                parts = r.path.split("/")
-                row = {"path": r.path, "folder": parts[-2], "file_name": parts[-1], "length": r.length}
+            for path, length, content in zip(*[b.column(i) for i in range(3)]):
+                parts = path.as_py().split("/")
+                row = dict.fromkeys(schema.names) | {"path": path.as_py(), "folder": parts[-2], "file_name": parts[-1], "length": length.as_py()}
                 try:
-                    row |= header_of(parts[-1], r.content)
+                    row |= header_of(parts[-1], content.as_py())
                 except (ValueError, struct.error, IndexError, OSError) as e:
                     row["error"] = str(e)[:200]
                 rows.append(row)
-            out = pd.DataFrame(rows, columns=names)
-            for c in ("width", "height", "depth"):
-                out[c] = out[c].astype("Int32")
-            yield out
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return files.select("path", "length", "content").mapInPandas(run, HEADER_SCHEMA)
+    return files.select("path", "length", "content").mapInArrow(run, HEADER_SCHEMA)
 
 
 def size_statistics(h: DataFrame) -> DataFrame:
