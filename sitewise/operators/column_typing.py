@@ -51,13 +51,20 @@ WEAK_ID_WORDS = {"patient", "person", "subject", "record", "case"}
 ID_PATTERN = r"(?i)^(patient|pat|subject|sub|person|record|case|participant)[_-]?\d+$"
 WORD_PAIRS = [("yes", "no"), ("y", "n"), ("true", "false"), ("t", "f"), ("ja", "nein")]
 LEAST_BINARY = 3
-DATE_FORMATS = ["yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd", "dd.MM.yyyy", "MM/dd/yyyy", "dd MMM yyyy", "yyyy-MM"]
+# formats with the shape of the texts they fit; a text is only parsed by the format whose shape it has
+DATE_FORMATS = {
+    "yyyy-MM-dd HH:mm:ss.SSSSSS": r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{6}$", "yyyy-MM-dd HH:mm:ss": r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$", "yyyy-MM-dd'T'HH:mm:ss": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$", "yyyy-MM-dd HH:mm": r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}$",
+    "yyyy-MM-dd": r"^\d{4}-\d{2}-\d{2}$", "yyyy/MM/dd": r"^\d{4}/\d{2}/\d{2}$", "dd.MM.yyyy": r"^\d{2}\.\d{2}\.\d{4}$", "MM/dd/yyyy": r"^\d{2}/\d{2}/\d{4}$", "dd MMM yyyy": r"^\d{2} [A-Za-z]{3} \d{4}$", "yyyy-MM": r"^\d{4}-\d{2}$",
+}
 
 
 def parsed_date(c: Column) -> Column:
-    """A timestamp by the first of DATE_FORMATS that fits the whole text, else null."""
+    """A timestamp by the one of DATE_FORMATS that fits the whole text, else null."""
     t = F.trim(c.cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in DATE_FORMATS])
+    out = F.lit(None).cast("timestamp")
+    for f, shape in DATE_FORMATS.items():
+        out = F.when(t.rlike(shape), F.try_to_timestamp(t, F.lit(f))).otherwise(out)
+    return F.when(t.rlike("^[0-9]"), out)
 
 
 @dataclass
@@ -88,26 +95,32 @@ def column_kinds(df: DataFrame) -> list[ColumnKind]:
     """The kind of every column of a table; array, map and struct columns are 'unsupported'."""
     groups = {c: _group(t) for c, t in df.dtypes}
     aggs = [F.count("*").alias("n")]
-    for i, (c, g) in enumerate(groups.items()):
+    for i, (c, g) in enumerate(groups.items()):  # only what the column's type leaves open
         q = F.col(f"`{c}`")
         v = F.when(~F.isnan(q), q) if dict(df.dtypes)[c] in ("double", "float") else q
-        text = F.lower(F.trim(q.cast("string"))) if g != "other" else F.lit("")
-        num = sc.as_number(q.cast("string")) if g in ("text", "number") else F.lit(None).cast("double")
-        aggs += [
-            F.count(v).alias(f"v{i}"), (F.approx_count_distinct(v, 0.02) if g != "other" else F.lit(0)).alias(f"d{i}"), F.count(num).alias(f"u{i}"), F.count_if(F.coalesce(num.isin(0.0, 1.0), F.lit(False))).alias(f"b{i}"),
-            F.array(*[F.count_if(text.isin(*p) & v.isNotNull()) for p in WORD_PAIRS]).alias(f"p{i}"), F.count_if(v.isNotNull() & F.coalesce(q.cast("string").rlike(ID_PATTERN), F.lit(False)) if g == "text" else F.lit(False)).alias(f"i{i}"),
-            (F.count(parsed_date(q)) if g == "text" else F.lit(0)).alias(f"t{i}"),
-        ]
+        aggs.append(F.count(v).alias(f"v{i}"))
+        if g == "text" or (g == "number" and sc.name_tokens(c) & WEAK_ID_WORDS):
+            aggs.append(F.approx_count_distinct(v).alias(f"d{i}"))
+        if g == "number":
+            aggs.append(F.count_if(v.isin(0, 1)).alias(f"b{i}"))
+        if g == "text":
+            num, word = sc.as_number(q), F.lower(F.trim(q))
+            aggs += [F.count(num).alias(f"u{i}"), F.count_if(num.isin(0.0, 1.0)).alias(f"b{i}"), F.count_if(q.rlike(ID_PATTERN)).alias(f"i{i}"), F.count(parsed_date(q)).alias(f"t{i}"), *[F.count_if(word.isin(*p)).alias(f"p{i}_{k}") for k, p in enumerate(WORD_PAIRS)]]
     r = df.agg(*aggs).first().asDict()
+    # the share of distinct values decides about weakly named identifiers, so near the limit it is counted exactly
+    close = [(i, c) for i, c in enumerate(groups) if sc.name_tokens(c) & WEAK_ID_WORDS and f"d{i}" in r and r[f"v{i}"] and r[f"d{i}"] / r[f"v{i}"] > 0.7]
+    if close:
+        exact = df.agg(*[F.count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in close]).first().asDict()
+        r |= exact
     out = []
     for i, (c, g) in enumerate(groups.items()):
-        n, nv, nd = r["n"], r[f"v{i}"], r[f"d{i}"]
+        n, nv, nd, nb = r["n"], r[f"v{i}"], r.get(f"d{i}", 0), r.get(f"b{i}", 0)
         words = sc.name_tokens(c)
         is_id = g != "temporal" and (bool(words & STRONG_ID_WORDS) or (g == "text" and nv > 0 and r[f"i{i}"] == nv) or bool(words & WEAK_ID_WORDS and nv and nd / nv > 0.9))
-        zero_one = nv > 0 and r[f"b{i}"] == nv and (nv >= LEAST_BINARY or bool(words & INDICATOR_WORDS))
-        binary = g in ("number", "text", "boolean") and nv > 0 and (g == "boolean" or zero_one or (g == "text" and any(k == nv for k in r[f"p{i}"])))
+        zero_one = nv > 0 and nb == nv and (nv >= LEAST_BINARY or bool(words & INDICATOR_WORDS))
+        binary = g in ("number", "text", "boolean") and nv > 0 and (g == "boolean" or zero_one or (g == "text" and any(r[f"p{i}_{k}"] == nv for k in range(len(WORD_PAIRS)))))
         kind = "empty" if not nv else "unsupported" if g == "other" else "temporal" if g == "temporal" else "categorical" if binary or g in ("text", "boolean") else "numeric"
-        out.append(ColumnKind(c, dict(df.dtypes)[c], n, nv, nd, r[f"u{i}"] / n if n else 0.0, r[f"t{i}"] / nv if nv else 0.0, kind, bool(binary), is_id))
+        out.append(ColumnKind(c, dict(df.dtypes)[c], n, nv, nd, (r.get(f"u{i}", nv if g == "number" else 0)) / n if n else 0.0, r.get(f"t{i}", 0) / nv if nv else 0.0, kind, bool(binary), is_id))
     return out
 
 

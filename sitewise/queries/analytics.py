@@ -36,7 +36,7 @@ def w1_rolling(spark, d):
 
 
 def w1_trend(spark, d):
-    return _r(se.trend(_months(spark, d)), 3)
+    return _r(se.trend(_months(spark, d)), 2)
 
 
 def w2(spark, d):
@@ -56,7 +56,7 @@ def w3_daily(spark, d):
 def w4(spark, d):
     o = pf.order_labels(spark, d)
     m = o.groupBy("n_name", F.to_date(F.date_trunc("month", "o_orderdate")).alias("month")).agg(F.sum("o_totalprice").alias("total"))
-    return _r(se.panel(m, "n_name", "month", "total"), 3)
+    return _r(se.panel(m, "n_name", "month", "total"), 1)
 
 
 def w5(spark, d):
@@ -299,7 +299,7 @@ _CELLS = " UNION ALL ".join(f"SELECT record_id, '{c}__' || CAST({c} AS VARCHAR)
 
 ORACLE = {
     "W1_rolling_growth": f"WITH {_MON} SELECT period, round(value, 4) AS value, round(CASE WHEN count(value) OVER f = 3 THEN avg(value) OVER f END, 4) AS rolling_mean, round((value - lag(value) OVER (ORDER BY period)) / lag(value) OVER (ORDER BY period), 4) AS growth_rate FROM q WINDOW f AS (ORDER BY period ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)",
-    "W1_trend": f"WITH {_MON}, x AS (SELECT *, row_number() OVER (ORDER BY period) - 1 AS x FROM q) SELECT count(*) AS n, round(min(value), 3) AS min, round(max(value), 3) AS max, round(max(value) - min(value), 3) AS range, round(avg(value), 3) AS mean, round(regr_slope(value, x), 3) AS trend_slope, round(regr_r2(value, x), 3) AS trend_r2 FROM x",
+    "W1_trend": f"WITH {_MON}, x AS (SELECT *, row_number() OVER (ORDER BY period) - 1 AS x FROM q) SELECT count(*) AS n, round(min(value), 2) AS min, round(max(value), 2) AS max, round(max(value) - min(value), 2) AS range, round(avg(value), 2) AS mean, round(regr_slope(value, x), 2) AS trend_slope, round(regr_r2(value, x), 2) AS trend_r2 FROM x",
     "W2_longitudinal": """WITH x AS (SELECT *, date_diff('day', DATE '1970-01-01', visit_date) AS day FROM longitudinal WHERE patient_id IS NOT NULL AND visit_date IS NOT NULL AND weight_kg IS NOT NULL AND NOT isnan(weight_kg)),
 g AS (SELECT patient_id AS subject, count(*) AS n_observations, first(weight_kg ORDER BY visit_date, visit_number NULLS FIRST, recorded_at NULLS FIRST, weight_kg) AS b, last(weight_kg ORDER BY visit_date, visit_number NULLS FIRST, recorded_at NULLS FIRST, weight_kg) AS l, regr_slope(weight_kg, day) AS s, var_samp(weight_kg) AS v FROM x GROUP BY ALL HAVING count(*) >= 2)
 SELECT subject, n_observations, round(b, 4) AS baseline, round(l, 4) AS last_value, round(l - b, 4) AS absolute_change, round((l - b) / b * 100, 4) AS relative_change, round(CASE WHEN isnan(s) THEN NULL ELSE s END, 4) + 0.0 AS slope, round(v, 4) AS within_var FROM g""",
@@ -307,7 +307,7 @@ SELECT subject, n_observations, round(b, 4) AS baseline, round(l, 4) AS last_val
 e AS (SELECT epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY ts) AS gap FROM events)
 SELECT CAST(n AS BIGINT) AS event_count, round(a, 3) AS event_density_mean, round(sd, 3) AS event_density_std, strftime(pd, '%Y-%m-%d') AS peak_day, pc AS peak_day_count, (SELECT count(*) FROM d WHERE cnt > a + 2 * sd) AS unusual_high_activity_days, (SELECT round(avg(gap / 1e6), 3) FROM e) AS avg_time_between_events, (SELECT round(stddev_samp(gap / 1e6), 3) FROM e) AS time_between_events_spread FROM s""",
     "W3_daily_counts": "SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, count(*) AS cnt FROM events GROUP BY ALL",
-    "W4_panel": f"WITH {pf.ORDERS_SQL.replace('AS node FROM', 'AS node, n_name FROM')}, m AS (SELECT n_name, date_trunc('month', o_orderdate) AS month, sum(o_totalprice) AS total FROM x GROUP BY ALL) SELECT n_name AS entity, count(*) AS n_observations, round(avg(total), 3) AS mean, round(last(total ORDER BY month) - first(total ORDER BY month), 3) AS growth, round(regr_slope(total, date_diff('day', DATE '1970-01-01', CAST(month AS DATE))), 3) AS slope FROM m GROUP BY ALL HAVING count(*) >= 2",
+    "W4_panel": f"WITH {pf.ORDERS_SQL.replace('AS node FROM', 'AS node, n_name FROM')}, m AS (SELECT n_name, date_trunc('month', o_orderdate) AS month, sum(o_totalprice) AS total FROM x GROUP BY ALL) SELECT n_name AS entity, count(*) AS n_observations, round(avg(total), 1) AS mean, round(last(total ORDER BY month) - first(total ORDER BY month), 1) AS growth, round(regr_slope(total, date_diff('day', DATE '1970-01-01', CAST(month AS DATE))), 1) AS slope FROM m GROUP BY ALL HAVING count(*) >= 2",
     "W5_event_columns": " UNION ALL ".join(f"SELECT * FROM (SELECT '{c}' AS column_name, CAST((CASE WHEN r > 0.01 AND r < 0.5 THEN 1 ELSE 0 END) + (CASE WHEN a > 1.2 THEN 2 ELSE 0 END) + (CASE WHEN pd > 0.3 THEN 2 ELSE 0 END) AS INTEGER) AS score, round(a, 4) AS avg_unique_per_patient, round(pd, 4) AS patient_diversity FROM (SELECT (SELECT count(DISTINCT {c}) * 1.0 / count(*) FROM events) AS r, avg(u) AS a, avg(CAST(u > 1 AS INTEGER)) AS pd FROM (SELECT user_id, count(DISTINCT {c}) AS u FROM events WHERE user_id IS NOT NULL GROUP BY ALL))) WHERE score >= 3" for c in ("event_type", "props")),
     "W6_repeat_structure": "SELECT round(stddev_samp(k) / avg(k), 4) AS row_variability, round(avg(CAST(k > 1 AS INTEGER)), 4) AS repeat_ratio FROM (SELECT patient_id, count(*) AS k FROM longitudinal WHERE patient_id IS NOT NULL GROUP BY ALL)",
     "W8_peaks": f"WITH {_MON}, l AS (SELECT *, lag(value) OVER (ORDER BY period) < value AND lead(value) OVER (ORDER BY period) < value AS p FROM q) SELECT 'orders' AS grp, period, round(value, 4) AS value, row_number() OVER (ORDER BY value DESC, period) AS place FROM l WHERE p ORDER BY value DESC LIMIT 5",
