@@ -26,11 +26,39 @@ from sitewise.operators.descriptive import pair_cells, quantiles
 PAIR = ["var1", "var2"]
 
 
+def _pair_counts(df: DataFrame, pairs: list[tuple[str, str]], left, right, names: tuple[str, str]) -> DataFrame:
+    """var1, var2, the two values and cnt of every pair, over the rows where both are there.
+
+    ``left`` and ``right`` make the value of a column. If the pairs are all combinations of some columns,
+    or all of one list with another, each row is spread by two nested generators over arrays of its
+    values, so that the plan grows with the columns and not with the pairs.
+    """
+    cells = lambda cols, make: F.array(*[F.struct(F.lit(i).alias("i"), make(F.col(c)).alias("v")) for i, c in enumerate(cols)])
+    firsts, seconds = list(dict.fromkeys(a for a, _ in pairs)), list(dict.fromkeys(b for _, b in pairs))
+    chain = [*firsts[:1], *[b for a, b in pairs if a == firsts[0]]] if pairs else []
+    if pairs and len(pairs) == len(set(pairs)) and set(pairs) == set(pair_cells(chain)):
+        firsts = seconds = chain
+        x = df.select(cells(chain, left).alias("ls"), cells(chain, right).alias("rs")).select("rs", F.explode("ls").alias("l")).where("l.v is not null")
+        x = x.select("l", F.explode(F.expr(f"slice(rs, l.i + 2, {len(chain)})")).alias("r"))
+    elif pairs and len(pairs) == len(set(pairs)) == len(firsts) * len(seconds):
+        x = df.select(cells(firsts, left).alias("ls"), cells(seconds, right).alias("rs")).select("rs", F.explode("ls").alias("l")).where("l.v is not null").select("l", F.explode("rs").alias("r"))
+    else:
+        at, bt = {c: i for i, c in enumerate(firsts)}, {c: i for i, c in enumerate(seconds)}
+        made = F.array(*[F.struct(F.struct(F.lit(at[a]).alias("i"), left(F.col(a)).alias("v")).alias("l"), F.struct(F.lit(bt[b]).alias("i"), right(F.col(b)).alias("v")).alias("r")) for a, b in pairs])
+        x = df.select(F.inline(made)).where("l.v is not null")
+    counted = x.where("r.v is not null").groupBy(F.col("l.i").alias("i"), F.col("r.i").alias("j"), F.col("l.v").alias(names[0]), F.col("r.v").alias(names[1])).agg(F.count("*").alias("cnt"))
+    label = lambda cols, at: F.element_at(F.array(*[F.lit(c) for c in cols]), F.col(at) + 1)
+    return counted.select(label(firsts, "i").alias("var1"), label(seconds, "j").alias("var2"), *names, "cnt")
+
+
+def _text(c: Column) -> Column:
+    t = c.cast("string")
+    return F.when(t != "NaN", t)
+
+
 def comparison_counts(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """var1 (number), var2 (group column), grp, value, cnt."""
-    cells = F.array(*[F.struct(F.lit(v).alias("var1"), F.lit(g).alias("var2"), F.col(g).cast("string").alias("grp"), sc.as_number(F.col(v)).alias("value")) for v, g in pairs])
-    nan = F.col("grp") == "NaN"
-    return df.select(F.inline(cells)).where(F.col("value").isNotNull() & F.col("grp").isNotNull() & ~nan).groupBy(*PAIR, "grp", "value").agg(F.count("*").alias("cnt"))
+    return _pair_counts(df, pairs, sc.as_number, _text, ("value", "grp"))
 
 
 def group_measures(counts: DataFrame) -> DataFrame:
@@ -293,9 +321,7 @@ def holm(df: DataFrame, p: str, out: str = "p_adj") -> DataFrame:
 # --- tables of categories ---------------------------------------------------------------------------------
 def table_counts(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """var1, var2, a, b, cnt of every pair of categorical columns."""
-    text = lambda c: F.when(F.col(c).cast("string") != "NaN", F.col(c).cast("string"))
-    cells = F.array(*[F.struct(F.lit(x).alias("var1"), F.lit(y).alias("var2"), text(x).alias("a"), text(y).alias("b")) for x, y in pairs])
-    return df.select(F.inline(cells)).where("a is not null and b is not null").groupBy(*PAIR, "a", "b").agg(F.count("*").alias("cnt"))
+    return _pair_counts(df, pairs, _text, _text, ("a", "b"))
 
 
 def association_statistics(counts: DataFrame) -> DataFrame:
@@ -336,8 +362,7 @@ def associations(counts: DataFrame) -> DataFrame:
 # --- correlations -------------------------------------------------------------------------------------------
 def correlation_counts(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """var1, var2, x, y, cnt over the rows where both are there."""
-    cells = F.array(*[F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), sc.as_number(F.col(a)).alias("x"), sc.as_number(F.col(b)).alias("y")) for a, b in pairs])
-    return df.select(F.inline(cells)).where("x is not null and y is not null").groupBy(*PAIR, "x", "y").agg(F.count("*").alias("cnt"))
+    return _pair_counts(df, pairs, sc.as_number, sc.as_number, ("x", "y"))
 
 
 def _weighted_r(df: DataFrame, x: str, y: str, out: str) -> DataFrame:
@@ -392,18 +417,18 @@ def correlations(counts: DataFrame) -> DataFrame:
 THRESHOLDS = {"correlation": 0.2, "cramers_v": 0.1, "hedges_g": 0.2, "rank_biserial": 0.2}
 
 
-def screen(df: DataFrame, numeric: list[str], categorical: dict[str, int], alpha: float = 0.05, thresholds: dict[str, float] | None = None, max_levels: int = 6, least: int = 2, chunk: int = 400) -> DataFrame:
+def screen(df: DataFrame, numeric: list[str], categorical: dict[str, int], alpha: float = 0.05, thresholds: dict[str, float] | None = None, max_levels: int = 6, least: int = 2) -> DataFrame:
     """All pairs of columns tested and corrected together.
 
-    ``categorical`` gives the number of levels of each column. Pairs are tested ``chunk`` to a job.
+    ``categorical`` gives the number of levels of each column. There is one job per kind of pair.
     """
     few = [c for c, k in categorical.items() if k <= max_levels]
     two = [c for c, k in categorical.items() if k == 2]
     kinds = [("num-num", pair_cells(numeric), lambda p: correlations(correlation_counts(df, p))), ("cat-cat", pair_cells(few), lambda p: associations(table_counts(df, p))), ("num-cat", [(v, g) for v in numeric for g in two], lambda p: compare_two_groups(df, p, least=least))]
     out = None
     for kind, pairs, test in kinds:
-        for i in range(0, len(pairs), chunk):
-            part = test(pairs[i : i + chunk]).withColumn("pair_type", F.lit(kind))
+        if pairs:
+            part = test(pairs).withColumn("pair_type", F.lit(kind))
             out = part if out is None else out.unionByName(part)
     if out is None:
         return df.sparkSession.createDataFrame([], TEST_SCHEMA + ", pair_type string, p_adj double, significant boolean")
