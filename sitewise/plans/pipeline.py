@@ -8,6 +8,7 @@ A section that fails is reported and skipped, the others go on.
 from __future__ import annotations
 
 import argparse
+import json
 import logging
 import os
 from functools import reduce
@@ -20,7 +21,7 @@ from sitewise.operators import descriptive as ds
 from sitewise.operators import federation as fed
 from sitewise.operators import inference as inf
 from sitewise.operators import reduction as rd
-from sitewise.sources import datasets, sinks
+from sitewise.sources import datasets, genomic, imaging, sinks
 
 log = logging.getLogger(__name__)
 
@@ -185,6 +186,32 @@ def write(local: dict, whole: dict, out: str) -> None:
     sinks.json_summary(os.path.join(out, "federated"), GLOBAL_SECTIONS)
 
 
+def run_genomic(spark: SparkSession, folder: str, out: str) -> dict[str, dict]:
+    """Every genomic text file of a folder analysed; a table per statistic and a summary.json."""
+    files = datasets.file_listing(spark, folder)
+    tables: dict[str, DataFrame] = {"samples": genomic.samples(files), "formats": genomic.format_overview(files), "sizes": genomic.size_statistics(files)}
+    for r in files.where(datasets.file_type(F.col("file_name")).isin("fastq", "vcf", "fasta", "alignment")).orderBy("file_name").collect():  # one row per file
+        kind = next(k for k, ends in datasets.FILE_TYPES if r.file_name.lower().endswith(ends))
+        try:
+            tables |= {f"{r.file_name}.{n}": t for n, t in genomic.analyze(spark, r.path, kind).items()}
+        except ValueError as e:
+            log.warning("%s: %s", r.file_name, e)
+    return _write_tables(tables, out)
+
+
+def run_imaging(spark: SparkSession, folder: str, out: str) -> dict[str, dict]:
+    """The images below a folder: sizes, resolution, modalities and body parts, and a table of folders."""
+    h = imaging.headers(spark, folder).persist()
+    return _write_tables({"folders": imaging.folder_table(h), "sizes": imaging.size_statistics(h), "resolution": imaging.resolution(h), "modalities": imaging.modalities(h), "regions": imaging.regions(h)}, out)
+
+
+def _write_tables(tables: dict[str, DataFrame], out: str) -> dict[str, dict]:
+    for name, t in tables.items():
+        sinks.write_small(t, os.path.join(out, f"{name}.csv"))
+    with open(sinks.json_summary(out, {n: f"{n}.csv" for n in tables}), encoding="utf-8") as f:
+        return json.load(f)
+
+
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description="Profile the sites below a directory and merge their summaries.")
     p.add_argument("root")

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitewise.operators import descriptive as ds
+from sitewise.operators import federation as fed
 from sitewise.operators import inference as inf
 from sitewise.operators import reduction as rd
+from sitewise.operators import regression as rg
 from sitewise.operators import series as se
 from sitewise.queries import profile as pf
 from sitewise.session import nan_to_null, table
@@ -224,6 +226,45 @@ def i22(spark, d):
     return _r(inf.outcome_comparison(g, ["age", "size", "nodes", "er"], inf.outcome_column(g, ["meno", "hormon", "status"])), 6)
 
 
+def i1(spark, d):
+    """Values and groups that enter the comparisons."""
+    c = inf.comparison_counts(_heart(spark, d), _pairs())
+    return c.groupBy("var1", "var2", "grp").agg(F.sum("cnt").alias("n"), F.count("*").alias("n_distinct"))
+
+
+def i6(spark, d):
+    """Which pairs call for ranks, by the test chosen."""
+    return inf.compare_two_groups(_heart(spark, d), _pairs()).select("var1", "var2", (F.col("test") == "mannwhitney").alias("by_ranks"))
+
+
+def k8(spark, d):
+    a = inf.association_statistics(_tables(spark, d)).select("var1", "var2", "cramers_v")
+    return _r(a.orderBy(F.desc_nulls_last("cramers_v"), "var1", "var2").limit(20))
+
+
+def i23(spark, d):
+    return _r(rg.linear(_heart(spark, d), ["age"], "thalach").select("term", "coefficient", "r2", "n"))
+
+
+def i23_residuals(spark, d):
+    h = _heart(spark, d)
+    x = rg.residuals(h, ["age"], "thalach", rg.linear(h, ["age"], "thalach"))
+    return x.agg(F.count("*").alias("n"), F.round(F.stddev_pop("residual"), 4).alias("sd_residual"))
+
+
+def i23_logistic(spark, d):
+    return _r(rg.logistic(_heart(spark, d).withColumn("sick", (F.col("num") > 0).cast("double")), ["age", "sex", "oldpeak"], "sick"))
+
+
+def r6(spark, d):
+    x = rd.as_categories(_heart(spark, d), FEW)
+    return x.groupBy("cp").agg(F.count("*").alias("cnt"))
+
+
+def f17(spark, d):
+    return spark.createDataFrame([(fed.has_converged(),)], "converged boolean")
+
+
 def r1(spark, d):
     return _r(rd.reduction_table(spark, rd.pca(_heart(spark, d), [*NUMS, "ca", "thal"])), 6)
 
@@ -270,6 +311,7 @@ QUERIES = {
     "W1_rolling_growth": w1_rolling, "W1_trend": w1_trend, "W2_longitudinal": w2, "W3_event_measures": w3, "W3_daily_counts": w3_daily, "W4_panel": w4, "W5_event_columns": w5, "W6_repeat_structure": w6, "X1_dataset_kind": w6_kind, "W7_seasonality": w7, "W8_peaks": w8, "W9_period_dates": w9, "W11_running_share": w11, "W12_fit_line": w12,
     "I2_group_measures": i2, "I3_I4_effect_sizes": i3, "I5_rank_biserial": i5, "I7_brown_forsythe": i7, "I9_two_group_tests": i9, "I10_t_statistics": i10, "I11_mann_whitney": i11, "I12_one_way_tests": i12, "I13_welch_anova": i13, "I14_kruskal": i14, "I15_posthoc_kruskal": _posthoc("kruskal"), "I15_posthoc_welch": _posthoc("welch"), "I16_posthoc_matrix": i16,
     "I17_benjamini_hochberg": i17, "I18_holm": i18, "I19_chi_square": i19, "I19_association_tests": i19_p, "I20_correlations": i20, "I20_auto_correlation": i20_auto, "I21_screen": i21, "P13_outcome_column": i13_outcome, "I22_outcome_comparison": i22,
+    "I1_group_values": i1, "I6_rank_rule": i6, "K8_top_cramers_v": k8, "I23_linear_regression": i23, "I23_residuals": i23_residuals, "I23_logistic_regression": i23_logistic, "R6_category_recode": r6, "F17_converged": f17,
     "R1_pca": r1, "R1_correlation_matrix": r1_matrix, "R1_row_coordinates": r1_rows, "R2_mca": r2, "R2_burt_table": r2_burt, "R2_row_coordinates": r2_rows, "R3_label_variables": r3, "R4_mca_subset": r4, "K10_longest_loadings": k10,
 }
 
@@ -329,8 +371,15 @@ f AS (SELECT ra.var1, ra.var2, r, c, n, CAST(ra AS DOUBLE) * cb / n AS e, coales
 y AS (SELECT *, abs(o - e) - CASE WHEN r = 2 AND c = 2 THEN least(0.5, abs(o - e)) ELSE 0 END AS g FROM f)
 SELECT var1, var2, CAST(any_value(n) AS BIGINT) AS n, round(sum(g ** 2 / e), 4) AS chi2, (any_value(r) - 1) * (any_value(c) - 1) AS dof, round(sqrt(sum((o - e) ** 2 / e) / (any_value(n) * (least(any_value(r), any_value(c)) - 1))), 4) AS cramers_v, min(e) >= 1 AND avg(CAST(e < 5 AS INTEGER)) <= 0.2 AS assumptions_ok FROM y GROUP BY var1, var2""",
     "I20_correlations": f"WITH {_HS} {_SPEAR}",
+    "K8_top_cramers_v": None,
+    "I1_group_values": f"WITH {_stats(_pairs())} SELECT var1, var2, grp, count(*) AS n, count(DISTINCT value) AS n_distinct FROM m GROUP BY ALL",
+    "I23_linear_regression": f"WITH {_HS}, x AS (SELECT age AS x, thalach AS y FROM h WHERE age IS NOT NULL AND thalach IS NOT NULL) SELECT 'intercept' AS term, round(regr_intercept(y, x), 4) AS coefficient, round(regr_r2(y, x), 4) AS r2, count(*) AS n FROM x UNION ALL SELECT 'age', round(regr_slope(y, x), 4), round(regr_r2(y, x), 4), count(*) FROM x",
+    "I23_residuals": f"WITH {_HS}, x AS (SELECT age AS x, thalach AS y FROM h WHERE age IS NOT NULL AND thalach IS NOT NULL) SELECT count(*) AS n, round(sqrt(var_pop(y) * (1 - regr_r2(y, x))), 4) AS sd_residual FROM x",
+    "R6_category_recode": f"WITH {_HS} SELECT CAST(cp AS VARCHAR) AS cp, count(*) AS cnt FROM h GROUP BY ALL",
+    "F17_converged": "SELECT TRUE AS converged",
     "P13_outcome_column": "SELECT 'status' AS outcome",
     "R1_correlation_matrix": f"WITH {_HS}, z AS (SELECT {', '.join(f'{e} AS {c}' for c, e in _Z.items())} FROM h) " + " UNION ALL ".join(f"SELECT '{a}' AS var1, '{b}' AS var2, round(avg({a} * {b}), 6) AS r FROM z" for i, a in enumerate(NUMS) for b in NUMS[i:]),
     "R2_burt_table": f"WITH {_HS}, l AS ({_CELLS}) SELECT a.l AS level1, b.l AS level2, count(*) AS cnt FROM l a JOIN l b USING (record_id) GROUP BY ALL",
     "R3_label_variables": "SELECT * FROM (VALUES ('cp__1.0', 'cp'), ('cp_max__2', 'cp_max'), ('cp__max__2', 'cp__max'), ('other__1', NULL)) t(label, variable)",
 }
+ORACLE["K8_top_cramers_v"] = f"SELECT var1, var2, cramers_v FROM ({ORACLE['I19_chi_square']}) ORDER BY cramers_v DESC, var1, var2 LIMIT 20"

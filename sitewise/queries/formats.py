@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from sitewise.functions import scalars as sc
 from sitewise.operators import column_typing as ct
+from sitewise.operators import descriptive as ds
 from sitewise.operators import labels as lb
+from sitewise.operators import narrative as nar
 from sitewise.queries import profile as pf
 from sitewise.session import nan_to_null, table
 from sitewise.sources import datasets as dsrc
@@ -72,6 +74,31 @@ def p10(spark, d):
     return _r(ct.quasi_numeric(g, ["grade", "node", "nodes_text"]))
 
 
+def p7(spark, d):
+    names = ["Diabetes", "chest-pain", "age", "ICU_days", "painting", "flag.x"]
+    return spark.createDataFrame([(n, bool(sc.name_tokens(n) & ct.INDICATOR_WORDS)) for n in names], "name string, suggests_binary boolean")
+
+
+def p9(spark, d):
+    """Identifiers keep their names but belong to no analytical kind."""
+    k = ct.column_kinds(table(spark, d, "breast_cancer_gbsg"))
+    rows = [(x, c) for x in ("numeric", "categorical", "temporal") for c in ct.of_kind(k, x)]
+    return spark.createDataFrame(rows, "kind string, column_name string")
+
+
+def p11(spark, d):
+    v = sc.as_number(F.col("grade"))
+    return table(spark, d, "breast_cancer_gbsg").groupBy("node_id").agg(F.count(v).alias("n_numbers"), F.count("grade").alias("n_values"))
+
+
+def n4(spark, d):
+    """The notices about quasi-numeric columns, ages out of range and excluded columns."""
+    quasi = [r.column_name for r in p10(spark, d).collect()]
+    far = ds.out_of_range(table(spark, d, HEART), "age").first().n_out_of_range
+    texts = [nar.names_notice(quasi, "quasi_numeric"), nar.names_notice([str(far)] if far else [], "out_of_range_age"), nar.names_notice([], "excluded")]
+    return spark.createDataFrame([(t,) for t in texts if t], "text string")
+
+
 def p14(spark, d):
     gate = ct.reduction_gate(ct.column_kinds(table(spark, d, HEART)))
     return spark.createDataFrame([(k, v) for k, v in sorted(gate.items())], "method string, applies boolean")
@@ -198,7 +225,7 @@ def stream(spark, d):
 
 
 QUERIES = {
-    "S1_file_listing": s1, "S3_file_types": s3, "S4_chosen_files": s4, "S5_delimiters": s5, "P1_null_tokens": p1, "P2_P3_clean_names": p2, "P4_date_columns": p4, "P5_P6_column_kinds": p5, "P8_identifiers": p8, "P10_quasi_numeric": p10, "P14_reduction_gate": p14, "P20_level_counts": p20, "P21_symptom_columns": p21, "P22_label_probability": p22, "P23_unknown_default": p23,
+    "S1_file_listing": s1, "S3_file_types": s3, "S4_chosen_files": s4, "S5_delimiters": s5, "P1_null_tokens": p1, "P2_P3_clean_names": p2, "P4_date_columns": p4, "P5_P6_column_kinds": p5, "P8_identifiers": p8, "P10_quasi_numeric": p10, "P7_name_keywords": p7, "P9_analytical_columns": p9, "P11_numeric_coercion": p11, "N4_notices": n4, "P14_reduction_gate": p14, "P20_level_counts": p20, "P21_symptom_columns": p21, "P22_label_probability": p22, "P23_unknown_default": p23,
     "G1_samples": g1, "G2_format_overview": g2, "G3_size_statistics": g3, "G4_coverage": g4, "G5_variants_per_sample": g5, "G6_variant_types": g6, "G7_fasta": g7, "G8_fastq": g8, "M1_resolution": m1, "M2_modalities": m2, "M3_regions": m3, "M4_folders": m4, "S15_rows_as_json": s15, "S16_archive": s16, "S18_json_values": s18, "streaming_windows": stream,
 }
 
@@ -215,6 +242,10 @@ ORACLE = {
     "P5_P6_column_kinds": " UNION ALL ".join(_BIN.format(c=c) for c in pf._HEART_DBL) + " UNION ALL SELECT * FROM (VALUES ('record_id', 'numeric', FALSE, TRUE), ('patient_id', 'categorical', FALSE, TRUE), ('node_id', 'categorical', FALSE, TRUE), ('load_id', 'numeric', FALSE, TRUE), ('visit_date', 'temporal', FALSE, FALSE), ('num', 'numeric', FALSE, FALSE)) t(a, b, c, d)",
     "P8_identifiers": "SELECT unnest(['c_name', 'load_id', 'node_id', 'patient_id', 'pid', 'record_id', 'rownames']) AS column_name",
     "P10_quasi_numeric": "SELECT 'grade' AS column_name, count(grade) AS n_values, count(TRY_CAST(trim(grade) AS DOUBLE)) AS n_numbers, round(count(TRY_CAST(trim(grade) AS DOUBLE)) * 1.0 / count(grade), 4) AS numeric_share FROM breast_cancer_gbsg",
+    "P7_name_keywords": "SELECT * FROM (VALUES ('Diabetes', TRUE), ('chest-pain', TRUE), ('age', FALSE), ('ICU_days', TRUE), ('painting', FALSE), ('flag.x', TRUE)) t(name, suggests_binary)",
+    "P9_analytical_columns": "SELECT * FROM (VALUES ('numeric', 'age'), ('numeric', 'size'), ('numeric', 'nodes'), ('numeric', 'pgr'), ('numeric', 'er'), ('numeric', 'rfstime'), ('categorical', 'meno'), ('categorical', 'grade'), ('categorical', 'hormon'), ('categorical', 'status'), ('temporal', 'surgery_date')) t(kind, column_name)",
+    "P11_numeric_coercion": "SELECT node_id, count(TRY_CAST(trim(grade) AS DOUBLE)) AS n_numbers, count(grade) AS n_values FROM breast_cancer_gbsg GROUP BY ALL",
+    "N4_notices": f"SELECT 'Mostly numbers, but not entirely, so treated as categories: grade.' AS text UNION ALL SELECT count(*) || ' age value(s) lie outside 0-100 years and are not in the age distribution.' FROM {HEART} WHERE NOT isnan(age) AND (age < 0 OR age > 100)",
     "P14_reduction_gate": "SELECT * FROM (VALUES ('mca', FALSE), ('pca', TRUE)) t(method, applies)",
     "P20_level_counts": " UNION ALL ".join(f"SELECT * FROM (SELECT '{c}' AS column_name, count(DISTINCT {c}) FILTER (NOT isnan(CAST({c} AS DOUBLE))) AS n_levels FROM {HEART}) WHERE n_levels BETWEEN 1 AND 30" for c in ("sex", "cp", "fbs", "restecg", "exang", "slope", "ca", "thal", "num")),
     "P21_symptom_columns": "SELECT unnest(['Chest_Pain', 'fatigue_flag', 'sleep_hours', 'memory']) AS column_name",

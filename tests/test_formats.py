@@ -145,6 +145,35 @@ def test_pipeline_end_to_end(spark, tmp_path):
     assert sinks.pack_directory(str(out))
 
 
+def test_genomic_and_imaging_runs(spark, tmp_path):
+    (tmp_path / "g").mkdir()
+    (tmp_path / "g" / "A_S1_L001_R1_001.fastq").write_text("@r\nACGT\n+\nIIII\n")
+    (tmp_path / "g" / "v.vcf").write_text(VCF)
+    (tmp_path / "g" / "x.bam").write_bytes(b"BAM")
+    got = pipeline.run_genomic(spark, f"{tmp_path}/g", f"{tmp_path}/go")
+    assert got["samples"][0]["samples"] == ["A_S1", "v", "x"] and got["v.vcf.variant_types"] and got["A_S1_L001_R1_001.fastq.read_lengths"][0]["n_reads"] == 1
+    (tmp_path / "i").mkdir()
+    (tmp_path / "i" / "a.png").write_bytes(_png(20, 30))
+    assert pipeline.run_imaging(spark, f"{tmp_path}/i", f"{tmp_path}/io")["resolution"][0]["min_height"] == 30
+
+
+def test_regressions(spark):
+    from sitewise.operators import regression as rg
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(500, 2))
+    pdf = pd.DataFrame(x, columns=["a", "b"])
+    pdf["y"] = 3 + 2 * x[:, 0] - x[:, 1] + rng.normal(0, 0.1, 500)
+    pdf["z"] = (rng.random(500) < 1 / (1 + np.exp(-(0.5 + 1.5 * x[:, 0])))).astype(float)
+    pdf.loc[0, "a"] = np.nan
+    df = spark.createDataFrame(pdf)
+    got = {r.term: r for r in rg.linear(df, ["a", "b"], "y").collect()}
+    want = np.linalg.lstsq(np.c_[np.ones(499), x[1:]], pdf.y[1:], rcond=None)[0]
+    assert np.allclose([got[t].coefficient for t in ("intercept", "a", "b")], want) and got["a"].p_value < 1e-9 and got["a"].n == 499
+    lo = {r.term: r.coefficient for r in rg.logistic(df, ["a"], "z").collect()}
+    assert 1.0 < lo["a"] < 2.1 and abs(lo["intercept"] - 0.5) < 0.4
+
+
 def test_generators_are_stable(spark):
     for make in (generators.visits, generators.event_log, generators.panel, lambda s: generators.hospital(s, 50)):
         assert make(spark).exceptAll(make(spark)).count() == 0
