@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewise.functions import scalars as sc
+from sitewise.session import broadcast_if_small
 
 
 @dataclass
@@ -168,7 +169,7 @@ def variable_of(label: str, names: list[str], sep: str = "__") -> str | None:
 
 def variables_of_labels(labels: DataFrame, names: DataFrame) -> DataFrame:
     """The same for tables: label, variable."""
-    both = labels.join(F.broadcast(names.limit(100_000)), F.col("label").startswith(F.concat(F.col("name"), F.lit("__"))), "left")
+    both = labels.join(broadcast_if_small(names), F.col("label").startswith(F.concat(F.col("name"), F.lit("__"))), "left")
     return both.groupBy("label").agg(F.max_by("name", F.length("name")).alias("variable"))
 
 

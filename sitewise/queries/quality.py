@@ -82,3 +82,32 @@ UNION ALL SELECT load_id, column_name, 'null_share' FROM b WHERE abs(nm * pn - p
 UNION ALL SELECT load_id, column_name, 'constant' FROM b WHERE nd = 1 AND pnd >= 2
 UNION ALL SELECT DISTINCT load_id, column_name, 'shift' FROM c WHERE abs(ca * pnv - cz * nv) * 4 > nv * pnv""",
 }
+
+_DOUBLES = {"age", "sex", "cp", "trestbps", "chol", "fbs", "restecg", "thalach", "exang", "oldpeak", "slope", "ca", "thal"}
+
+
+def _cells(dataset: str, column: str) -> str:
+    if column == "grade":
+        return f"SELECT '{dataset}' AS dataset, load_id, 'grade' AS column_name, CAST(NULL AS DOUBLE) AS num, grade AS txt FROM {dataset}"
+    nan = dataset.startswith("heart") and column in _DOUBLES or column == "pgr"
+    return f"SELECT '{dataset}' AS dataset, load_id, '{column}' AS column_name, {f'CASE WHEN isnan({column}) THEN NULL ELSE {column} END' if nan else f'CAST({column} AS DOUBLE)'} AS num, CAST(NULL AS VARCHAR) AS txt FROM {dataset}"
+
+
+_ALL = " UNION ALL ".join(_cells(d, c) for d, cols in MEASURED.items() for c in cols)
+_IN_DOMAIN = "coalesce(val >= lo, lo IS NULL) AND coalesce(val <= hi, hi IS NULL) AND (allowed_values IS NULL OR coalesce(list_contains([TRY_CAST(x AS DOUBLE) FOR x IN string_split(allowed_values, '|')], val), FALSE))"
+ORACLE["p3_profile"] = f"""WITH v AS ({_ALL}),
+w AS (SELECT dataset, load_id, column_name, num, txt, count(*) AS cnt FROM v GROUP BY ALL),
+j AS (SELECT w.*, num IS NULL AND txt IS NULL AS missing, d.pattern IS NULL OR regexp_full_match(coalesce(txt, ''), d.pattern) AS fits, coalesce(num, TRY_CAST(txt AS DOUBLE)) AS val,
+  CASE WHEN NOT isnan(d.min_value) THEN d.min_value END AS lo, CASE WHEN NOT isnan(d.max_value) THEN d.max_value END AS hi, d.allowed_values FROM w JOIN field_domains d USING (dataset, column_name)),
+k AS (SELECT *, NOT missing AND fits AND {_IN_DOMAIN} AS valid FROM j),
+m AS (SELECT dataset, load_id, column_name, CAST(sum(cnt) AS BIGINT) AS n, CAST(coalesce(sum(cnt) FILTER (missing), 0) AS BIGINT) AS nm, count(*) FILTER (NOT missing) AS nd, min(val) FILTER (NOT missing) AS mn, max(val) FILTER (NOT missing) AS mx,
+  CAST(coalesce(sum(cnt) FILTER (NOT missing AND NOT fits), 0) AS BIGINT) AS nb, CAST(coalesce(sum(cnt) FILTER (NOT missing AND fits AND NOT valid), 0) AS BIGINT) AS no, CAST(coalesce(sum(cnt) FILTER (valid), 0) AS BIGINT) AS nv FROM k GROUP BY ALL),
+b AS (SELECT m.*, l.prev_load_id, p.n AS pn, p.nm AS pnm, p.nv AS pnv FROM m LEFT JOIN loads l USING (load_id) LEFT JOIN m p ON p.load_id = l.prev_load_id AND p.column_name = m.column_name),
+q AS (SELECT * FROM b WHERE nv >= 50 AND pnv >= 50),
+e AS (SELECT q.load_id, q.column_name, k.val, k.cnt AS a, 0 AS z, q.nv, q.pnv FROM q JOIN k ON k.load_id = q.load_id AND k.column_name = q.column_name AND k.valid
+  UNION ALL SELECT q.load_id, q.column_name, k.val, 0, k.cnt, q.nv, q.pnv FROM q JOIN k ON k.load_id = q.prev_load_id AND k.column_name = q.column_name AND k.valid),
+g AS (SELECT load_id, column_name, val, nv, pnv, sum(a) AS a, sum(z) AS z FROM e GROUP BY ALL),
+c AS (SELECT load_id, column_name, nv, pnv, sum(a) OVER w AS ca, sum(z) OVER w AS cz FROM g WINDOW w AS (PARTITION BY load_id, column_name ORDER BY val)),
+d AS (SELECT load_id, column_name, max(abs(ca * pnv - cz * nv)) / (CAST(any_value(nv) AS DOUBLE) * any_value(pnv)) AS dist FROM c GROUP BY ALL)
+SELECT b.dataset, b.load_id, b.column_name, n AS n_rows, nm AS n_missing, round(nm * 1.0 / n, 6) AS missing_share, nd AS n_distinct, mn AS min_value, mx AS max_value, nb AS n_bad_pattern, no AS n_out_of_range, nv AS n_valid,
+ round(nm * 1.0 / n - pnm * 1.0 / pn, 6) AS missing_change, round(dist, 6) AS distribution_change FROM b LEFT JOIN d USING (load_id, column_name)"""
