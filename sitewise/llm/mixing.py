@@ -93,11 +93,13 @@ def solve(sized: DataFrame, targets: dict[str, Target]) -> int:
         rows = F.create_map(*[x for s, t in open_.items() for x in (F.lit(s), F.array(*[F.lit(v) for v in t.grid]))])
         most = F.create_map(*[x for s, t in open_.items() for x in (F.lit(s), F.lit(t.most))])
         top = max(t.most for t in open_.values())
-        x = sized.where(F.col("source").isin(list(open_)) & (F.col("n_tokens") > 0)).select("source", "u", "n_tokens", rows[F.col("source")].alias("g"), most[F.col("source")].alias("m"))
-        sums = x.groupBy("source").agg(*[F.sum(copies_at(F.col("u"), F.get("g", F.lit(i)), F.col("m"), top) * F.col("n_tokens")).alias(f"t{i}") for i in range(GRID)])
-        for r in sums.collect():
-            t = open_[r.source]
-            given = [r[f"t{i}"] for i in range(GRID)]
+        x = sized.where(F.col("source").isin(list(open_)) & (F.col("n_tokens") > 0)).select("source", "u", "n_tokens", most[F.col("source")].alias("m"), F.posexplode(rows[F.col("source")]).alias("i", "rate"))
+        sums = x.groupBy("source", "i").agg(F.sum(copies_at(F.col("u"), F.col("rate"), F.col("m"), top) * F.col("n_tokens")).alias("t"))
+        by_source: dict[str, dict[int, int]] = {}
+        for r in sums.collect():  # sources times grid
+            by_source.setdefault(r.source, {})[r.i] = r.t
+        for source, at in by_source.items():
+            t, given = open_[source], [at[i] for i in range(GRID)]
             above = next((i for i, v in enumerate(given) if v >= t.goal), GRID)
             low, high = (t.grid[above - 1] if above else t.low), (t.grid[above] if above < GRID else t.high)
             under, over = (given[above - 1] if above else 0), (given[above] if above < GRID else math.inf)
