@@ -241,11 +241,11 @@ ORACLE = {
     "P4_date_columns": "SELECT 'day' AS column_name, 0.0 AS numeric_share, 1.0 AS date_share, TRUE AS promoted UNION ALL SELECT 'half', 0.0, round(count(*) FILTER (o_orderkey % 2 = 0) * 1.0 / count(*), 4), count(*) FILTER (o_orderkey % 2 = 0) > 0.6 * count(*) FROM orders UNION ALL SELECT 'price', 1.0, 0.0, FALSE UNION ALL SELECT 'o_orderpriority', 0.0, 0.0, FALSE",
     "P5_P6_column_kinds": " UNION ALL ".join(_BIN.format(c=c) for c in pf._HEART_DBL) + " UNION ALL SELECT * FROM (VALUES ('record_id', 'numeric', FALSE, TRUE), ('patient_id', 'categorical', FALSE, TRUE), ('node_id', 'categorical', FALSE, TRUE), ('load_id', 'numeric', FALSE, TRUE), ('visit_date', 'temporal', FALSE, FALSE), ('num', 'numeric', FALSE, FALSE)) t(a, b, c, d)",
     "P8_identifiers": "SELECT unnest(['c_name', 'load_id', 'node_id', 'patient_id', 'pid', 'record_id', 'rownames']) AS column_name",
-    "P10_quasi_numeric": "SELECT 'grade' AS column_name, count(grade) AS n_values, count(TRY_CAST(trim(grade) AS DOUBLE)) AS n_numbers, round(count(TRY_CAST(trim(grade) AS DOUBLE)) * 1.0 / count(grade), 4) AS numeric_share FROM breast_cancer_gbsg",
+    "P10_quasi_numeric": "SELECT 'grade' AS column_name, count(grade) AS n_values, count(TRY_CAST(trim(grade) AS DOUBLE)) AS n_numbers, round(count(TRY_CAST(trim(grade) AS DOUBLE)) * 1.0 / count(grade), 4) AS numeric_share FROM breast_cancer_gbsg HAVING count(TRY_CAST(trim(grade) AS DOUBLE)) BETWEEN 0.5 * count(grade) AND count(grade) - 1",
     "P7_name_keywords": "SELECT * FROM (VALUES ('Diabetes', TRUE), ('chest-pain', TRUE), ('age', FALSE), ('ICU_days', TRUE), ('painting', FALSE), ('flag.x', TRUE)) t(name, suggests_binary)",
     "P9_analytical_columns": "SELECT * FROM (VALUES ('numeric', 'age'), ('numeric', 'size'), ('numeric', 'nodes'), ('numeric', 'pgr'), ('numeric', 'er'), ('numeric', 'rfstime'), ('categorical', 'meno'), ('categorical', 'grade'), ('categorical', 'hormon'), ('categorical', 'status'), ('temporal', 'surgery_date')) t(kind, column_name)",
     "P11_numeric_coercion": "SELECT node_id, count(TRY_CAST(trim(grade) AS DOUBLE)) AS n_numbers, count(grade) AS n_values FROM breast_cancer_gbsg GROUP BY ALL",
-    "N4_notices": f"SELECT 'Mostly numbers, but not entirely, so treated as categories: grade.' AS text UNION ALL SELECT count(*) || ' age value(s) lie outside 0-100 years and are not in the age distribution.' FROM {HEART} WHERE NOT isnan(age) AND (age < 0 OR age > 100)",
+    "N4_notices": f"SELECT 'Mostly numbers, but not entirely, so treated as categories: grade.' AS text FROM breast_cancer_gbsg HAVING count(TRY_CAST(trim(grade) AS DOUBLE)) BETWEEN 0.5 * count(grade) AND count(grade) - 1 UNION ALL SELECT count(*) || ' age value(s) lie outside 0-100 years and are not in the age distribution.' FROM {HEART} WHERE NOT isnan(age) AND (age < 0 OR age > 100) HAVING count(*) > 0",
     "P14_reduction_gate": "SELECT * FROM (VALUES ('mca', FALSE), ('pca', TRUE)) t(method, applies)",
     "P20_level_counts": " UNION ALL ".join(f"SELECT * FROM (SELECT '{c}' AS column_name, count(DISTINCT {c}) FILTER (NOT isnan(CAST({c} AS DOUBLE))) AS n_levels FROM {HEART}) WHERE n_levels BETWEEN 1 AND 30" for c in ("sex", "cp", "fbs", "restecg", "exang", "slope", "ca", "thal", "num")),
     "P21_symptom_columns": "SELECT unnest(['Chest_Pain', 'fatigue_flag', 'sleep_hours', 'memory']) AS column_name",
@@ -262,7 +262,7 @@ ORACLE = {
     "M1_resolution": "SELECT count(*) AS n_images, min(p_size * 10) AS min_width, max(p_size * 10) AS max_width, round(avg(p_size * 10), 3) AS average_width, min(p_size + 7) AS min_height, max(p_size + 7) AS max_height, round(avg(p_size + 7), 3) AS average_height, min(p_partkey % 5) FILTER (p_partkey % 5 > 1) AS min_depth, max(p_partkey % 5) FILTER (p_partkey % 5 > 1) AS max_depth, round(avg(p_partkey % 5) FILTER (p_partkey % 5 > 1), 3) AS average_depth FROM part",
     "M2_modalities": "SELECT CASE WHEN p_partkey % 4 > 0 THEN p_brand ELSE 'Unknown' END AS modality, count(*) AS n_files FROM part WHERE p_partkey % 3 = 0 GROUP BY ALL",
     "M3_regions": "SELECT CASE WHEN p_partkey % 6 = 0 THEN 'Unknown' ELSE p_type END AS region, count(*) AS n_files, FALSE AS is_degenerate FROM part WHERE p_partkey % 3 = 0 GROUP BY ALL",
-    "M4_folders": "SELECT p_brand AS folder, 'DICOM+PNG' AS format, count(*) AS n_files, min(p_size * 10) || '–' || max(p_size * 10) AS width, min(p_size + 7) || '–' || max(p_size + 7) AS height FROM part GROUP BY ALL",
+    "M4_folders": "SELECT p_brand AS folder, string_agg(DISTINCT CASE WHEN p_partkey % 3 = 0 THEN 'DICOM' ELSE 'PNG' END, '+' ORDER BY CASE WHEN p_partkey % 3 = 0 THEN 'DICOM' ELSE 'PNG' END) AS format, count(*) AS n_files, min(p_size * 10) || '–' || max(p_size * 10) AS width, min(p_size + 7) || '–' || max(p_size + 7) AS height FROM part GROUP BY ALL",
     "S15_rows_as_json": """SELECT '{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}' AS json FROM region""",
     "S16_archive": "SELECT * FROM (VALUES ('a/b.csv', TRUE), ('c.json', TRUE)) t(name, packed)",
     "S18_json_values": "SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, count(*) AS cnt FROM events GROUP BY ALL",

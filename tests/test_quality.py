@@ -72,3 +72,12 @@ def test_hot_load_and_repeated_rows(spark, tmp_path):
 
 def test_empty_table(spark, tmp_path):
     assert found(spark, tmp_path, {1: ([], [])}) == set()
+
+
+def test_null_keys_and_clashing_columns(spark, tmp_path):
+    t = pa.table({"load_id": pa.array([None, None, 1, 1], pa.int64()), "v": pa.array([1.0, None, 500.0, 2.0]), "g": pa.array(["1", "x", "1", "2"]), "key": [1, 2, 3, 4], "cnt": [5, 6, 7, 8], "value": ["a"] * 4})
+    pq.write_table(t, f"{tmp_path}/t.parquet")
+    counts = qp.value_counts(spark, spark.read.parquet(f"{tmp_path}/t.parquet"), "load_id", ["v", "g"]).withColumn("dataset", F.lit("t"))
+    links = spark.createDataFrame([(1, "t", "n", None, None, None)], "load_id long, dataset string, node_id string, loaded_at timestamp_ntz, prev_load_id long, declared_rows int")
+    got = {tuple(r) for r in qp.findings(qp.compared(qp.judged(counts, spark.createDataFrame(DOMAINS, DOMAIN_SCHEMA)), links)).collect()}
+    assert got == {(1, "v", "out_of_range"), (None, "g", "bad_pattern")}

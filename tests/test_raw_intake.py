@@ -161,3 +161,22 @@ def test_empty_tables(spark, small, name, tmp_path):
         table(spark, small, t).limit(0).withColumn("label", __import__("pyspark").sql.functions.lit(1)).write.parquet(f"{tmp_path}/{t}.parquet")
     table(spark, small, "field_domains").write.parquet(f"{tmp_path}/field_domains.parquet")
     assert QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
+def test_nulls_strangers_and_repeats(spark, small):
+    files = spark.createDataFrame([(1, None, "n", "f", None, "x"), (1, None, "n", "f", None, "x"), (2, "breast_cancer_gbsg", None, None, 99, "x"), (None, None, None, None, None, None)], "file_id long, dataset string, node_id string, file_name string, prev_file_id long, delimiter string")
+    rows = [(1, 1, "age,note"), (1, 2, "500,x"), (1, 2, "500,x"), (2, 1, "pid;age"), (2, 2, "a1;500"), (3, 1, "age"), (3, 2, "500"), (4, 2, "no header"), (None, 1, "age"), (None, 2, "5"), (2, None, "1;2"), (2, 3, None)]
+    lines = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "file_id long, line_no int, line string, raw string, fields string")
+    headers, cols, specs, loaded, _ = _run(spark, small, files, lines)
+    bad = {(r.file_id, r.line_no, r.reason) for r in sl.rejected(lines, specs, loaded).collect()}
+    assert bad == {(2, 2, "value"), (4, 2, "columns"), (None, 2, "columns")}
+    assert loaded.count() == 3  # both copies of the repeated line, and the line of the file nobody listed
+    assert sd.migration_steps(cols, sd.column_types(loaded)).count() == 0
+
+
+def test_empty_column_names_and_repeated_headers(spark, small):
+    files, lines = _world(spark, [["age,,age,thal,thal_scan", "50,,1,3,7"], [",age,thal_scan", "x,51,3"]])
+    headers, cols, specs, loaded, _ = _run(spark, small, files, lines)
+    got = {tuple(r) for r in sd.migration_steps(cols, sd.column_types(loaded)).collect()}
+    assert (2, "renamed", "thal", "thal_scan") in got and all(f == 2 for f, *_ in got)
+    assert loaded.count() == 2
