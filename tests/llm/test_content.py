@@ -1,4 +1,4 @@
-"""Content scores: foldings, phrases, exceptions, held-out labels, odd texts."""
+"""Content scores: foldings, phrases, exceptions, agreement with reviewers, odd texts."""
 
 import pytest
 from pyspark.sql import functions as F
