@@ -41,8 +41,11 @@ def chunk_decisions(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("answer", F.when(F.coalesce(fixed, F.lit(False)), "footer").otherwise("scan"))
 
 
-def value_counts(spark: SparkSession, df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Counts by load and value: load_id, column_name, num, text, cnt (num and text null: missing)."""
+def value_counts(spark: SparkSession, df: DataFrame, key: str, columns: list[str], exact: bool = False) -> DataFrame:
+    """Counts by load and value: load_id, column_name, num, text, cnt (num and text null: missing).
+
+    exact: also ``whole``, which holds whole numbers too large for a double; dates are day numbers.
+    """
     decided = chunk_decisions(pc.chunk_table(spark, df, key, columns))
     by_footer = decided.where("answer = 'footer'")
     value = F.when(~F.col("has_nan"), F.coalesce(F.get("num_values", F.lit(0)), F.col("num_min")))
@@ -52,9 +55,9 @@ def value_counts(spark: SparkSession, df: DataFrame, key: str, columns: list[str
         F.explode(F.array(F.struct(value.alias("num"), text.alias("text"), (F.col("n_rows") - F.col("n_null")).alias("cnt")), F.struct(F.lit(None).cast("double").alias("num"), F.lit(None).cast("string").alias("text"), F.col("n_null").alias("cnt")))).alias("v"),
     ).select("key", "column_name", "v.num", "v.text", "v.cnt").where("cnt > 0")
     units = decided.where("answer = 'scan'").groupBy("file", "row_group").agg(F.collect_set("column_name").alias("columns"))
-    scanned = units.repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(pc.scan_counts(key), pc.COUNT_SCHEMA)
-    both = scanned.unionByName(kept).withColumn("num", F.col("num") + 0.0)
-    return both.groupBy(F.col("key").alias("load_id"), "column_name", "num", "text").agg(F.sum("cnt").alias("cnt"))
+    scanned = units.repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(pc.scan_counts(key, exact), pc.EXACT_SCHEMA if exact else pc.COUNT_SCHEMA)
+    both = scanned.unionByName(kept, allowMissingColumns=exact).withColumn("num", F.col("num") + 0.0)
+    return both.groupBy(F.col("key").alias("load_id"), "column_name", "num", *(["whole"] if exact else []), "text").agg(F.sum("cnt").alias("cnt"))
 
 
 def judged(counts: DataFrame, domains: DataFrame) -> DataFrame:
@@ -63,23 +66,26 @@ def judged(counts: DataFrame, domains: DataFrame) -> DataFrame:
     x = counts.join(F.broadcast(rules), ["dataset", "column_name"], "left")  # field_domains is a fixed, narrow table
     allowed = F.filter(F.transform(F.split("allowed_values", "\\|"), rc.number_of), lambda v: v.isNotNull())
     words = F.split("allowed_values", "\\|")
-    x = x.withColumn("value", F.coalesce("num", rc.number_of(F.col("text")))).withColumn("missing", F.col("num").isNull() & F.col("text").isNull())
-    written = F.coalesce("text", F.col("num").cast("string"))
+    large = [F.col("whole")] if "whole" in counts.columns else []
+    x = x.withColumn("value", F.coalesce("num", *[c.cast("double") for c in large], rc.number_of(F.col("text")))).withColumn("missing", reduce(Column.__and__, [c.isNull() for c in (F.col("num"), F.col("text"), *large)]))
+    written = F.coalesce("text", *[c.cast("string") for c in large], F.col("num").cast("string"))
     fits = F.col("pattern").isNull() | F.rlike(written, F.concat(F.lit("^(?:"), F.col("pattern"), F.lit(")\\z")))
     in_range = F.coalesce(F.col("value") >= F.col("lo"), F.col("lo").isNull()) & F.coalesce(F.col("value") <= F.col("hi"), F.col("hi").isNull())
     in_list = F.col("allowed_values").isNull() | F.coalesce(F.array_contains(allowed, F.col("value")), F.lit(False)) | F.coalesce(F.array_contains(words, F.col("text")), F.lit(False))
     x = x.withColumn("fits", fits).withColumn("valid", ~F.col("missing") & fits & in_range & in_list)
-    return x.select("dataset", "load_id", "column_name", "num", "text", "value", "cnt", "missing", "fits", "valid")
+    return x.select("dataset", "load_id", "column_name", "num", *large, "text", "value", "cnt", "missing", "fits", "valid")
 
 
 def load_measures(x: DataFrame) -> DataFrame:
     """One row per load and column of what its counts say."""
     sum_if = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("cnt"))), F.lit(0))
     seen = ~F.col("missing")
+    number = F.coalesce("whole", F.col("num").try_cast("long")) if "whole" in x.columns else None
+    exact = [f(c).alias(n) for f, at in ((F.min, "min"), (F.max, "max")) for c, n in ((number, f"{at}_number"), (F.col("text"), f"{at}_text"))] if number is not None else []
     return x.groupBy("dataset", "load_id", "column_name").agg(
         F.sum("cnt").alias("n_rows"), sum_if(F.col("missing")).alias("n_missing"), F.count(F.when(seen, 1)).alias("n_distinct"),
         F.min(F.when(seen, F.col("value"))).alias("min_value"), F.max(F.when(seen, F.col("value"))).alias("max_value"),
-        sum_if(seen & ~F.col("fits")).alias("n_bad_pattern"), sum_if(seen & F.col("fits") & ~F.col("valid")).alias("n_out_of_range"), sum_if(F.col("valid")).alias("n_valid"),
+        sum_if(seen & ~F.col("fits")).alias("n_bad_pattern"), sum_if(seen & F.col("fits") & ~F.col("valid")).alias("n_out_of_range"), sum_if(F.col("valid")).alias("n_valid"), *exact,
     )
 
 
@@ -88,21 +94,31 @@ def _range_of(value: Column) -> Column:
     return F.floor(F.asinh(value) * 16)
 
 
+def _text_range_of(value: Column, rest: Column) -> Column:
+    """The same where ``rest`` holds texts that are no numbers: after all numbers, by their first characters."""
+    return F.struct(F.coalesce(_range_of(value), F.lit(1 << 40)).alias("n"), F.coalesce(F.substring(rest, 1, 9), F.lit("")).alias("t"))
+
+
 def distribution_distance(x: DataFrame, pairs: DataFrame) -> DataFrame:
     """Largest difference of the shares of valid values <= v between two loads, as whole numbers.
 
     pairs: load_id, prev_load_id, column_name, na, nb (valid values of each). Result: load_id,
-    column_name, distance = max |A(v) * nb - B(v) * na|, to be divided by na * nb.
+    column_name, distance = max |A(v) * nb - B(v) * na|, to be divided by na * nb. Exact counts (with
+    ``whole``) also order whole numbers that are the same as doubles, and texts that are no numbers.
     """
-    valid = x.where("valid").select("load_id", "column_name", "value", "cnt")
-    a = pairs.select("load_id", "column_name").join(valid, ["load_id", "column_name"]).select("load_id", "column_name", "value", F.col("cnt").alias("a"), F.lit(0).cast("long").alias("b"))
+    fine = ["number", "rest"] if "whole" in x.columns else []
+    if fine:
+        x = x.withColumn("number", F.coalesce("whole", F.col("value").try_cast("long"))).withColumn("rest", F.when(F.col("value").isNull(), F.col("text")))
+    order = ["value", *fine]
+    valid = x.where("valid").select("load_id", "column_name", *order, "cnt")
+    a = pairs.select("load_id", "column_name").join(valid, ["load_id", "column_name"]).select("load_id", "column_name", *order, F.col("cnt").alias("a"), F.lit(0).cast("long").alias("b"))
     prev = valid.withColumnRenamed("load_id", "prev_load_id")
-    b = pairs.select("load_id", "prev_load_id", "column_name").join(prev, ["prev_load_id", "column_name"]).select("load_id", "column_name", "value", F.lit(0).cast("long").alias("a"), F.col("cnt").alias("b"))
-    cells = a.unionByName(b).groupBy("load_id", "column_name", "value").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).withColumn("r", _range_of(F.col("value")))
+    b = pairs.select("load_id", "prev_load_id", "column_name").join(prev, ["prev_load_id", "column_name"]).select("load_id", "column_name", *order, F.lit(0).cast("long").alias("a"), F.col("cnt").alias("b"))
+    cells = a.unionByName(b).groupBy("load_id", "column_name", *order).agg(F.sum("a").alias("a"), F.sum("b").alias("b")).withColumn("r", _text_range_of(F.col("value"), F.col("rest")) if fine else _range_of(F.col("value")))
     before = Window.partitionBy("load_id", "column_name").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
     ranges = cells.groupBy("load_id", "column_name", "r").agg(F.sum("a").alias("ra"), F.sum("b").alias("rb"))
     ranges = ranges.select("load_id", "column_name", "r", F.coalesce(F.sum("ra").over(before), F.lit(0)).alias("a0"), F.coalesce(F.sum("rb").over(before), F.lit(0)).alias("b0"))
-    inside = Window.partitionBy("load_id", "column_name", "r").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("load_id", "column_name", "r").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     run = cells.select("load_id", "column_name", "r", F.sum("a").over(inside).alias("a1"), F.sum("b").over(inside).alias("b1")).join(ranges, ["load_id", "column_name", "r"])
     big = lambda c: c.cast("decimal(19,0)")
     run = run.join(pairs.select("load_id", "column_name", "na", "nb"), ["load_id", "column_name"])
@@ -159,8 +175,8 @@ def column_summary(chunks: DataFrame) -> DataFrame:
     return whole.join(values, "column_name", "left").select("column_name", "n_chunks", "n_rows", "n_null", "min_value", "max_value", "min_text", "max_text", F.when(F.col("all_dictionary") == 1, F.coalesce("n", F.lit(0))).alias("n_distinct"))
 
 
-def profile_tables(spark: SparkSession, sf_dir: str, columns: dict[str, list[str]]) -> DataFrame:
+def profile_tables(spark: SparkSession, sf_dir: str, columns: dict[str, list[str]], exact: bool = False) -> DataFrame:
     """``compared`` for the given columns of disease tables, in one pass over the counts of all of them."""
-    made = [value_counts(spark, table(spark, sf_dir, d), "load_id", c).withColumn("dataset", F.lit(d)) for d, c in columns.items()]
+    made = [value_counts(spark, table(spark, sf_dir, d), "load_id", c, exact).withColumn("dataset", F.lit(d)) for d, c in columns.items()]
     counts = reduce(DataFrame.unionByName, made)
     return compared(judged(counts, table(spark, sf_dir, "field_domains")), table(spark, sf_dir, "loads"))

@@ -16,6 +16,7 @@ MEASURED = {
     "heart_disease_cleveland": ["age", "sex", "cp", "trestbps", "chol", "fbs", "restecg", "thalach", "exang", "oldpeak", "slope", "ca", "thal", "num"],
     "breast_cancer_gbsg": ["age", "meno", "size", "grade", "nodes", "pgr", "er", "hormon", "rfstime", "status"],
 }
+KEYS = {"heart_disease_cleveland": ["record_id", "patient_id", "node_id", "visit_date"], "breast_cancer_gbsg": ["record_id", "node_id", "rownames", "pid", "surgery_date"]}
 
 
 def _both(make, columns: dict[str, list[str]]) -> DataFrame:
@@ -27,12 +28,21 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every measured column of every load, with its change against the load before."""
+    """Every measured column of every load, with its change against the load before; ``p3_keys`` has the other columns."""
+    return _described(qp.profile_tables(spark, sf_dir, MEASURED), "min_value", "max_value")
+
+
+def p3_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for identifiers and dates: numbers exact, dates as days since 1970-01-01, texts by their order. load_id itself is the key."""
+    return _described(qp.profile_tables(spark, sf_dir, KEYS, exact=True), "min_number", "max_number", "min_text", "max_text")
+
+
+def _described(compared: DataFrame, *extrema: str) -> DataFrame:
     share = lambda a, b: F.round(F.try_divide(F.col(a), F.col(b)), 6)
     change = F.round(F.try_divide(F.col("distance").cast("double"), F.col("n_valid").cast("double") * F.col("prev_n_valid")), 6)
 
-    return qp.profile_tables(spark, sf_dir, MEASURED).select(
-        "dataset", "load_id", "column_name", "n_rows", "n_missing", share("n_missing", "n_rows").alias("missing_share"), "n_distinct", "min_value", "max_value", "n_bad_pattern", "n_out_of_range", "n_valid",
+    return compared.select(
+        "dataset", "load_id", "column_name", "n_rows", "n_missing", share("n_missing", "n_rows").alias("missing_share"), "n_distinct", *extrema, "n_bad_pattern", "n_out_of_range", "n_valid",
         F.round(F.try_divide(F.col("n_missing"), F.col("n_rows")) - F.try_divide(F.col("prev_n_missing"), F.col("prev_n_rows")), 6).alias("missing_change"), change.alias("distribution_change"),
     )
 
@@ -53,7 +63,7 @@ def p3_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _both(made, MEASURED).groupBy("dataset", "column_name", "answer").agg(F.count("*").alias("n_chunks"), F.sum("n_rows").alias("n_rows"), F.count("dictionary_size").alias("n_dictionaries"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_profile": p3_profile, "p3_columns": p3_columns, "p3_chunks": p3_chunks}
+QUERIES = {"p3_found": p3_found, "p3_profile": p3_profile, "p3_keys": p3_keys, "p3_columns": p3_columns, "p3_chunks": p3_chunks}
 
 _COUNTS = """
 v AS (SELECT 'heart_disease_cleveland' AS dataset, load_id, 'age' AS column_name, CASE WHEN isnan(age) THEN NULL ELSE age END AS num, CAST(NULL AS VARCHAR) AS txt FROM heart_disease_cleveland
@@ -111,3 +121,25 @@ c AS (SELECT load_id, column_name, nv, pnv, sum(a) OVER w AS ca, sum(z) OVER w A
 d AS (SELECT load_id, column_name, max(abs(ca * pnv - cz * nv)) / (CAST(any_value(nv) AS DOUBLE) * any_value(pnv)) AS dist FROM c GROUP BY ALL)
 SELECT b.dataset, b.load_id, b.column_name, n AS n_rows, nm AS n_missing, round(nm * 1.0 / n, 6) AS missing_share, nd AS n_distinct, mn AS min_value, mx AS max_value, nb AS n_bad_pattern, no AS n_out_of_range, nv AS n_valid,
  round(nm * 1.0 / n - pnm * 1.0 / pn, 6) AS missing_change, round(dist, 6) AS distribution_change FROM b LEFT JOIN d USING (load_id, column_name)"""
+
+
+def _key_cells(dataset: str, column: str) -> str:
+    num = "NULL" if column in ("patient_id", "node_id") else f"{column} - DATE '1970-01-01'" if column.endswith("_date") else column
+    return f"SELECT '{dataset}' AS dataset, load_id, '{column}' AS column_name, CAST({num} AS BIGINT) AS num, {column if num == 'NULL' else 'CAST(NULL AS VARCHAR)'} AS txt FROM {dataset}"
+
+
+_KEY_CELLS = " UNION ALL ".join(_key_cells(d, c) for d, cols in KEYS.items() for c in cols)
+# No identifier or date has a pattern or a range in field_domains, so all values that are there are valid.
+ORACLE["p3_keys"] = f"""WITH v AS ({_KEY_CELLS}),
+k AS (SELECT dataset, load_id, column_name, num, txt, num IS NOT NULL OR txt IS NOT NULL AS valid, count(*) AS cnt FROM v GROUP BY ALL),
+m AS (SELECT dataset, load_id, column_name, CAST(sum(cnt) AS BIGINT) AS n, CAST(coalesce(sum(cnt) FILTER (NOT valid), 0) AS BIGINT) AS nm, count(*) FILTER (valid) AS nd, min(num) AS mn, max(num) AS mx, min(txt) AS mnt, max(txt) AS mxt,
+  CAST(coalesce(sum(cnt) FILTER (valid), 0) AS BIGINT) AS nv FROM k GROUP BY ALL),
+b AS (SELECT m.*, l.prev_load_id, p.n AS pn, p.nm AS pnm, p.nv AS pnv FROM m LEFT JOIN loads l USING (load_id) LEFT JOIN m p ON p.load_id = l.prev_load_id AND p.column_name = m.column_name),
+q AS (SELECT * FROM b WHERE nv >= 50 AND pnv >= 50),
+e AS (SELECT q.load_id, q.column_name, k.num, k.txt, k.cnt AS a, 0 AS z, q.nv, q.pnv FROM q JOIN k ON k.load_id = q.load_id AND k.column_name = q.column_name AND k.valid
+  UNION ALL SELECT q.load_id, q.column_name, k.num, k.txt, 0, k.cnt, q.nv, q.pnv FROM q JOIN k ON k.load_id = q.prev_load_id AND k.column_name = q.column_name AND k.valid),
+g AS (SELECT load_id, column_name, num, txt, nv, pnv, sum(a) AS a, sum(z) AS z FROM e GROUP BY ALL),
+c AS (SELECT load_id, column_name, nv, pnv, sum(a) OVER w AS ca, sum(z) OVER w AS cz FROM g WINDOW w AS (PARTITION BY load_id, column_name ORDER BY num, txt)),
+d AS (SELECT load_id, column_name, max(abs(ca * pnv - cz * nv)) / (CAST(any_value(nv) AS DOUBLE) * any_value(pnv)) AS dist FROM c GROUP BY ALL)
+SELECT b.dataset, b.load_id, b.column_name, n AS n_rows, nm AS n_missing, round(nm * 1.0 / n, 6) AS missing_share, nd AS n_distinct, mn AS min_number, mx AS max_number, mnt AS min_text, mxt AS max_text, 0 AS n_bad_pattern, 0 AS n_out_of_range, nv AS n_valid,
+ round(nm * 1.0 / n - pnm * 1.0 / pn, 6) AS missing_change, round(dist, 6) AS distribution_change FROM b LEFT JOIN d USING (load_id, column_name)"""

@@ -7,6 +7,7 @@ to the dictionary. Both are read on the executors; the driver only lists file na
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 import struct
 from collections.abc import Iterator
@@ -20,6 +21,8 @@ CHUNK_SCHEMA = (
     "num_values array<double>, text_values array<string>"
 )
 COUNT_SCHEMA = "key long, column_name string, num double, text string, cnt long"
+EXACT_SCHEMA = "key long, column_name string, num double, whole long, text string, cnt long"
+EXACT = 1 << 53  # whole numbers up to here are the same as doubles; larger ones go by ``whole``
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -139,8 +142,12 @@ def _extrema(chunk, text: bool) -> tuple:
     lo, hi = s.min, s.max
     if text:
         return (lo, hi) if isinstance(lo, str) and len(lo) < 60 and len(hi) < 60 else (None, None)
+    if type(lo) is dt.date:
+        lo, hi = ((x - dt.date(1970, 1, 1)).days for x in (lo, hi))
     if isinstance(lo, bool) or not isinstance(lo, (int, float)) or (isinstance(lo, float) and (math.isnan(lo) or math.isnan(hi))):
         return None, None
+    if isinstance(lo, int) and max(abs(lo), abs(hi)) > EXACT:
+        return None, None
     return float(lo), float(hi)
 
 
@@ -170,6 +177,8 @@ def footers(key: str, columns: list[str]):
                             text = str(meta.schema.column(kinds[c]).logical_type.type) == "STRING"
                             lo, hi = _extrema(chunk, text)
                             values = dictionary_of(f, chunk)
+                            if values is not None and any(isinstance(v, int) and abs(v) > EXACT for v in values):
+                                values = None
                             nan = None if values is None else any(isinstance(v, float) and v != v for v in values)
                             if chunk.physical_type not in ("DOUBLE", "FLOAT"):
                                 nan = False
@@ -194,34 +203,52 @@ def chunk_table(spark: SparkSession, df: DataFrame, key: str, columns: list[str]
     return names.repartition(min(len(files), 4 * spark.sparkContext.defaultParallelism)).mapInPandas(footers(key, columns), CHUNK_SCHEMA)
 
 
-def _count_group(f, group: int, key: str, columns: list[str]) -> Iterator[pa.RecordBatch]:
+def _exact_lanes(v: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Numbers as doubles where a double holds them, else as whole numbers; dates as days since 1970-01-01."""
+    import pyarrow.compute as pc
+
+    if pa.types.is_date32(v.type):
+        v = v.cast(pa.int32())
+    elif pa.types.is_temporal(v.type):
+        v = v.cast(pa.int64())
+    if v.type != pa.int64():
+        return v.cast(pa.float64()), pa.nulls(len(v), pa.int64())
+    fits = pc.and_(pc.less_equal(v, EXACT), pc.greater_equal(v, -EXACT))
+    none = pa.scalar(None, pa.int64())
+    return pc.if_else(fits, v, none).cast(pa.float64()), pc.if_else(fits, none, v)
+
+
+def _count_group(f, group: int, key: str | None, columns: list[str], exact: bool = False) -> Iterator[pa.RecordBatch]:
     """Value counts by key of one row group, read in slices so that memory stays bounded."""
     import pyarrow.compute as pc
     import pyarrow.parquet as pq
 
-    out = pa.schema([("key", pa.int64()), ("column_name", pa.string()), ("num", pa.float64()), ("text", pa.string()), ("cnt", pa.int64())])
-    for b in pq.ParquetFile(f).iter_batches(batch_size=131_072, row_groups=[group], columns=[key, *columns]):
+    whole = [("whole", pa.int64())] if exact else []
+    out = pa.schema([("key", pa.int64()), ("column_name", pa.string()), ("num", pa.float64()), *whole, ("text", pa.string()), ("cnt", pa.int64())])
+    for b in pq.ParquetFile(f).iter_batches(batch_size=131_072, row_groups=[group], columns=[*([key] if key else []), *columns]):
+        keys = b.column(b.schema.get_field_index(key)).cast(pa.int64()) if key else pa.nulls(b.num_rows, pa.int64())
         for c in columns:
-            v = b.column(b.schema.get_field_index(c))
+            v, big = b.column(b.schema.get_field_index(c)), pa.nulls(b.num_rows, pa.int64())
             text = pa.types.is_string(v.type) or pa.types.is_large_string(v.type)
             if pa.types.is_dictionary(v.type):
                 v, text = v.cast(pa.string()), True
             if not text:
-                v = v.cast(pa.float64())
+                v, big = _exact_lanes(v) if exact else (v.cast(pa.float64()), big)
                 v = pc.if_else(pc.is_nan(v), pa.scalar(None, pa.float64()), v)
-            t = pa.table({"key": b.column(b.schema.get_field_index(key)).cast(pa.int64()), "v": v}).group_by(["key", "v"], use_threads=False).aggregate([([], "count_all")])
+            by = {"key": keys, "v": v} | ({"whole": big} if exact else {})
+            t = pa.table(by).group_by(list(by), use_threads=False).aggregate([([], "count_all")])
             n = t.num_rows
             nums, texts = (pa.nulls(n, pa.float64()), t["v"].cast(pa.string())) if text else (t["v"], pa.nulls(n, pa.string()))
-            yield from pa.table([t["key"], pa.array([c] * n, pa.string()), nums, texts, t["count_all"]], schema=out).to_batches()
+            yield from pa.table([t["key"], pa.array([c] * n, pa.string()), nums, *([t["whole"]] if exact else []), texts, t["count_all"]], schema=out).to_batches()
 
 
-def scan_counts(key: str):
-    """For mapInArrow over (file, row_group, columns array<string>): rows of COUNT_SCHEMA."""
+def scan_counts(key: str | None, exact: bool = False):
+    """For mapInArrow over (file, row_group, columns array<string>): rows of COUNT_SCHEMA, or of EXACT_SCHEMA if ``exact``; without a key, of the whole row group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for unit in batch.to_pylist():
                 with _open(unit["file"]) as f:
-                    yield from _count_group(f, unit["row_group"], key, unit["columns"])
+                    yield from _count_group(f, unit["row_group"], key, unit["columns"], exact)
 
     return run

@@ -81,3 +81,26 @@ def test_null_keys_and_clashing_columns(spark, tmp_path):
     links = spark.createDataFrame([(1, "t", "n", None, None, None)], "load_id long, dataset string, node_id string, loaded_at timestamp_ntz, prev_load_id long, declared_rows int")
     got = {tuple(r) for r in qp.findings(qp.compared(qp.judged(counts, spark.createDataFrame(DOMAINS, DOMAIN_SCHEMA)), links)).collect()}
     assert got == {(1, "v", "out_of_range"), (None, "g", "bad_pattern")}
+
+
+def test_every_column_of_every_load_is_described(spark, small):
+    from sitewise.queries import quality
+    from sitewise.session import table
+
+    got = {k: {(r.dataset, r.column_name) for r in quality.QUERIES[k](spark, small).select("dataset", "column_name").distinct().collect()} for k in ("p3_profile", "p3_keys")}
+    assert got["p3_profile"] | got["p3_keys"] == {(d, c) for d in quality.MEASURED for c in table(spark, small, d).columns if c != "load_id"}
+
+
+@pytest.mark.parametrize("write", [{}, {"use_dictionary": False}, {"write_statistics": False}])
+def test_large_numbers_dates_and_texts_by_load(spark, tmp_path, write):
+    big, day = 1 << 60, dt.date(2020, 1, 1)
+    ids = [big + i for i in range(60)] + [big + 30 + i for i in range(60)]
+    t = pa.table({"load_id": [1] * 60 + [2] * 60, "id": pa.array(ids, pa.int64()), "day": pa.array([day] * 60 + [None] * 6 + [day + dt.timedelta(1)] * 54, pa.date32()), "who": [f"P{i:03}" for i in range(60)] + [f"P{i + 15:03}" for i in range(60)]})
+    pq.write_table(t, f"{tmp_path}/t.parquet", row_group_size=60, **write)
+    links = spark.createDataFrame([(1, "t", "n", None, None, None), (2, "t", "n", None, 1, None)], "load_id long, dataset string, node_id string, loaded_at timestamp_ntz, prev_load_id long, declared_rows int")
+    counts = qp.value_counts(spark, spark.read.parquet(f"{tmp_path}/t.parquet"), "load_id", ["id", "day", "who"], exact=True).withColumn("dataset", F.lit("t"))
+    got = {(r.load_id, r.column_name): r for r in qp.compared(qp.judged(counts, spark.createDataFrame(DOMAINS, DOMAIN_SCHEMA)), links).collect()}
+    assert [(got[k, "id"].n_distinct, got[k, "id"].min_number, got[k, "id"].max_number) for k in (1, 2)] == [(60, big, big + 59), (60, big + 30, big + 89)]
+    assert (got[2, "day"].n_missing, got[2, "day"].min_number, got[2, "day"].n_distinct) == (6, 18263, 1)
+    assert (got[2, "who"].min_text, got[2, "who"].max_text) == ("P015", "P074")
+    assert [int(got[2, c].distance) / (got[2, c].n_valid * 60) for c in ("id", "day", "who")] == [0.5, 1.0, 0.25]
