@@ -175,6 +175,31 @@ def column_summary(chunks: DataFrame) -> DataFrame:
     return whole.join(values, "column_name", "left").select("column_name", "n_chunks", "n_rows", "n_null", "min_value", "max_value", "min_text", "max_text", F.when(F.col("all_dictionary") == 1, F.coalesce("n", F.lit(0))).alias("n_distinct"))
 
 
+def whole_columns(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """``column_summary`` without gaps: chunks whose footer and dictionary leave a figure open are scanned, and only they.
+
+    n_null counts null and NaN.
+    """
+    chunks = pc.chunk_table(spark, df, df.columns[0], df.columns).persist()  # read by the sums, the dictionaries and the choice of scans
+    empty = F.coalesce(F.col("n_null") == F.col("n_rows"), F.lit(False))
+    told = F.col("n_null").isNotNull() & F.coalesce(~F.col("has_nan"), F.lit(False)) & F.col("dictionary_size").isNotNull()
+    decided = chunks.withColumn("told", told | empty)
+    units = decided.where("not told").groupBy("file", "row_group").agg(F.collect_set("column_name").alias("columns"))
+    scanned = units.repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(pc.scan_counts(None, exact=True), pc.EXACT_SCHEMA).drop("key")
+    by_dictionary = decided.where("told and n_null < n_rows").select("column_name", F.explode(F.arrays_zip(F.coalesce("num_values", F.transform("text_values", lambda v: F.lit(None).cast("double"))).alias("num"), F.coalesce("text_values", F.transform("num_values", lambda v: F.lit(None).cast("string"))).alias("text"))).alias("v"))
+    values = scanned.unionByName(by_dictionary.select("column_name", "v.num", F.lit(None).cast("long").alias("whole"), "v.text", F.lit(0).cast("long").alias("cnt"))).withColumn("num", F.col("num") + 0.0)
+    values = values.groupBy("column_name", "num", "whole", "text").agg(F.sum("cnt").alias("cnt"))
+    missing = F.col("num").isNull() & F.col("whole").isNull() & F.col("text").isNull()
+    number = F.coalesce("num", F.col("whole").cast("double"))
+    seen = values.groupBy("column_name").agg(
+        F.coalesce(F.sum(F.when(missing, F.col("cnt"))), F.lit(0)).alias("scanned_null"), F.count(F.when(~missing, 1)).alias("n"),
+        F.min(number).alias("min_value"), F.max(number).alias("max_value"), F.min("text").alias("min_text"), F.max("text").alias("max_text"),
+    )
+    sums = decided.groupBy("column_name").agg(F.count("*").alias("n_chunks"), F.sum("n_rows").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("told"), F.col("n_null"))), F.lit(0)).alias("told_null"))
+    n_null = F.col("told_null") + F.coalesce("scanned_null", F.lit(0))
+    return sums.join(seen, "column_name", "left").select("column_name", "n_chunks", "n_rows", n_null.alias("n_null"), "min_value", "max_value", "min_text", "max_text", F.coalesce("n", F.lit(0)).alias("n_distinct"))
+
+
 def profile_tables(spark: SparkSession, sf_dir: str, columns: dict[str, list[str]], exact: bool = False) -> DataFrame:
     """``compared`` for the given columns of disease tables, in one pass over the counts of all of them."""
     made = [value_counts(spark, table(spark, sf_dir, d), "load_id", c, exact).withColumn("dataset", F.lit(d)) for d, c in columns.items()]

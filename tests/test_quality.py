@@ -104,3 +104,14 @@ def test_large_numbers_dates_and_texts_by_load(spark, tmp_path, write):
     assert (got[2, "day"].n_missing, got[2, "day"].min_number, got[2, "day"].n_distinct) == (6, 18263, 1)
     assert (got[2, "who"].min_text, got[2, "who"].max_text) == ("P015", "P074")
     assert [int(got[2, c].distance) / (got[2, c].n_valid * 60) for c in ("id", "day", "who")] == [0.5, 1.0, 0.25]
+
+
+@pytest.mark.parametrize("write", [{}, {"use_dictionary": ["g"], "write_statistics": False}])
+def test_whole_columns_have_every_figure(spark, tmp_path, write):
+    df, _, _ = world(spark, tmp_path, CASES, group_rows=50, **write)
+    got = {r.column_name: r for r in qp.whole_columns(spark, df).collect()}
+    v = {float(x) for vs, _ in CASES.values() for x in vs if x == x}
+    assert (got["v"].n_null, got["v"].n_distinct, got["v"].min_value, got["v"].max_value) == (25, len(v), -0.5, 101.0)
+    g = {x for _, gs in CASES.values() for x in gs if x is not None}
+    assert (got["g"].n_null, got["g"].n_distinct, got["g"].min_text, got["g"].max_text) == (11, len(g), min(g), max(g))
+    assert (got["load_id"].n_null, got["load_id"].n_distinct, got["load_id"].n_rows) == (0, 6, df.count())
