@@ -171,18 +171,18 @@ def write(local: dict, whole: dict, out: str) -> None:
                 if "column_name" in t.columns and "local_coverage" in whole:
                     label = whole["local_coverage"].where(F.col("node_id") == node).select("column_name", F.col("label").alias("availability"))
                     t = t.join(label, "column_name", "left").withColumn("availability", F.coalesce("availability", F.lit("unknown")))
-                sinks.write_small(t, os.path.join(base, rel))
+                sinks.write_whole(t, os.path.join(base, rel))
         if "screening" in tables:
-            sinks.write_small(tables["screening"].where("significant"), os.path.join(base, "inferential/significant_associations.csv"))
+            sinks.write_whole(tables["screening"].where("significant"), os.path.join(base, "inferential/significant_associations.csv"))
         if "comparisons" in tables:
             outcome = tables["comparisons"].first()
-            sinks.write_small(tables["comparisons"], os.path.join(base, f"inferential/comparisons_by_{outcome.var2 if outcome else 'outcome'}.csv"))
+            sinks.write_whole(tables["comparisons"], os.path.join(base, f"inferential/comparisons_by_{outcome.var2 if outcome else 'outcome'}.csv"))
         for name, rel in (("numeric_comparison", "comparison/numeric_comparison.csv"), ("categorical_comparison", "comparison/categorical_comparison.csv"), ("contributions", "comparison/contribution.csv")):
             if name in whole:
-                sinks.write_small(whole[name].where(F.col("node_id") == node), os.path.join(base, rel))
+                sinks.write_whole(whole[name].where(F.col("node_id") == node), os.path.join(base, rel))
         sinks.json_summary(base, LOCAL_SECTIONS)
     for name, t in whole.items():
-        sinks.write_small(t, os.path.join(out, "federated", f"{name}.csv"))
+        sinks.write_whole(t, os.path.join(out, "federated", f"{name}.csv"))
     sinks.json_summary(os.path.join(out, "federated"), GLOBAL_SECTIONS)
 
 
@@ -207,7 +207,7 @@ def run_imaging(spark: SparkSession, folder: str, out: str) -> dict[str, dict]:
 
 def _write_tables(tables: dict[str, DataFrame], out: str) -> dict[str, dict]:
     for name, t in tables.items():
-        sinks.write_small(t, os.path.join(out, f"{name}.csv"))
+        sinks.write_whole(t, os.path.join(out, f"{name}.csv"))
     with open(sinks.json_summary(out, {n: f"{n}.csv" for n in tables}), encoding="utf-8") as f:
         return json.load(f)
 

@@ -6,8 +6,10 @@ import ast
 import base64
 import io
 import json
+import logging
 import math
 import os
+import shutil
 import tarfile
 from pathlib import Path
 
@@ -15,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+log = logging.getLogger(__name__)
+
 
 def flat(df: DataFrame) -> DataFrame:
     """Maps, arrays and structs as JSON text, so that any table fits a CSV."""
@@ -23,15 +27,30 @@ def flat(df: DataFrame) -> DataFrame:
 
 def write_table(df: DataFrame, path: str, partition: str | None = None) -> None:
     """A result table as CSV with header, by site if ``partition`` is given; written by the executors."""
-    w = flat(df).write.mode("overwrite").option("header", True)
+    w = flat(df).write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     (w.partitionBy(partition) if partition else w).csv(path)
 
 
 def write_small(df: DataFrame, path: str, most: int = 200_000) -> bool:
     """A summary of at most ``most`` rows as one CSV file; False (and no file) if it is larger or has no rows."""
+    return _write(df, path, most, larger=False)
+
+
+def write_whole(df: DataFrame, path: str, most: int = 200_000) -> bool:
+    """A table as one CSV file, or above ``most`` rows as a directory of that name with CSV parts; False if it has no rows."""
+    return _write(df, path, most, larger=True)
+
+
+def _write(df: DataFrame, path: str, most: int, larger: bool) -> bool:
     rows = flat(df).limit(most + 1).toPandas()
+    if len(rows) > most and larger:
+        log.warning("%s: more than %d rows, written as a directory of CSV parts", path, most)
+        write_table(df, f"file://{os.path.abspath(path)}")
+        return True
     if len(rows) > most or rows.empty:
         return False
+    if os.path.exists(os.path.join(path, "_SUCCESS")):
+        shutil.rmtree(path)  # parts of an earlier, larger table
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     rows.to_csv(path, index=False)
     return True
@@ -77,11 +96,15 @@ def csv_records(path: str) -> list | None:
 
 
 def json_summary(base: str, sections: dict[str, str], out: str | None = None) -> str:
-    """One summary.json from the CSV files of a result directory."""
-    summary = {name: csv_records(os.path.join(base, rel)) for name, rel in sections.items()}
+    """One summary.json from the CSV files of a result directory; tables too large for one file are only named."""
+    parts = sorted(str(p.parent.relative_to(base)) for p in Path(base).rglob("*.csv/_SUCCESS"))
+    summary = {name: {"file": rel} if rel in parts else csv_records(os.path.join(base, rel)) for name, rel in sections.items()}
+    if parts:
+        summary["large_tables"] = parts
     hits = sorted(Path(base, "inferential").glob("comparisons_by_*.csv"))
     if any(rel.startswith("inferential") for rel in sections.values()):
-        summary["comparisons_by_outcome"] = csv_records(str(hits[0])) if hits else None
+        named = str(hits[0].relative_to(base)) if hits else None
+        summary["comparisons_by_outcome"] = {"file": named} if named in parts else csv_records(str(hits[0])) if hits else None
     target = Path(out or base)
     target.mkdir(parents=True, exist_ok=True)
     (target / "summary.json").write_text(json.dumps(summary, indent=2))

@@ -240,3 +240,12 @@ def test_incremental_profile_equals_the_batch(spark, small, tmp_path):
     p.start(stream, str(tmp_path / "cp")).awaitTermination()
     got, want = p.current(spark).first(), events.agg(F.count("value"), F.avg("value"), F.var_samp("value")).first()
     assert got["count"] == want[0] and abs(got.mean - want[1]) < 1e-9 and abs(got.variance - want[2]) < 1e-6
+
+
+def test_tables_above_the_bound_are_written(spark, tmp_path):
+    big = spark.range(200_001).select("id", F.concat(F.lit(' "a, '), "id").alias("name"))
+    got = pipeline._write_tables({"big": big, "few": big.limit(2)}, str(tmp_path / "o"))
+    assert got["big"] == {"file": "big.csv"} and got["large_tables"] == ["big.csv"] and len(got["few"]) == 2
+    read = pd.concat(pd.read_csv(p) for p in (tmp_path / "o/big.csv").glob("part-*.csv"))
+    assert sorted(read.id) == list(range(200_001)) and read.name[read.id == 7].item() == ' "a, 7'
+    assert pipeline._write_tables({"big": big.limit(3)}, str(tmp_path / "o"))["big"][2]["id"] == 2
