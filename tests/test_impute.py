@@ -45,6 +45,26 @@ def test_clashing_columns_are_kept_apart(spark, small):
     assert got.n == 7 and got.base_chol == 8.0 and got.ca__filled is True
 
 
+def test_text_categories_and_open_ranges(spark):
+    made = spark.createDataFrame([("d", "mood", "category", None, None, "low|it's|3", None), ("d", "size", "number", float("nan"), 50.0, None, None)], "dataset string, column_name string, kind string, min_value double, max_value double, allowed_values string, pattern string")
+    rows = [(1, "a", "p", None, "low", "12"), (2, "a", "p", None, " low ", "14"), (3, "a", "p", None, "odd", "x"), (4, "b", "q", None, "it's", "40"), (5, "b", "q", None, "it's", "44"), (6, "b", "q", None, None, "99"), (7, "b", "q", None, "3", None)]
+    df = spark.createDataFrame(rows, "record_id long, node_id string, patient_id string, visit_date date, mood string, size string")
+    got = {r.record_id: r for r in fill(df, impute.Domains(made, "d", ["mood", "size"])).collect()}
+    assert got[3].mood == "low" and got[3].mood__filled and got[6].mood == "it's" and got[2].mood == "low" and not got[2].mood__filled and got[7].mood == "3"
+    assert got[3].size__filled and got[3].size < got[6].size <= 50 and got[7].size__filled and got[1].size == 12
+
+
+def test_fitted_shares_follow_group_and_period(spark):
+    """Counts that follow group and period effects exactly are met by the fit; a field without differences keeps its shares."""
+    rows = [(g, t, *(int(4000 * p) for p in (share, 1 - share)), 500, 500) for g, t, share in [("a", "1", 0.8), ("a", "2", 0.5), ("b", "1", 0.5), ("b", "2", 0.2)]]
+    cells = spark.createDataFrame(rows, "g string, t string, __f_0 long, __f_1 long, __h_0 long, __h_1 long")
+    d = object.__new__(impute.Domains)
+    d.codes, d.ranges = {"f": [0.0, 1.0], "h": [0.0, 1.0]}, {}
+    got = {(r["__g"], r["__t"]): r for r in impute._baselines(cells, d).collect()}
+    for g, t, n0, n1, *_ in rows:
+        assert abs(got[g, t]["__prior_f"][0] - n0 / (n0 + n1)) < 0.02 and got[g, t]["__prior_h"] == [0.5, 0.5]
+
+
 @pytest.mark.parametrize("field", FIELDS)
 def test_held_out_beats_the_plain_fill(spark, field):
     sf = "/root/testdata/sf0.01"
