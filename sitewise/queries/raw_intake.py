@@ -7,34 +7,40 @@ from pyspark.sql import functions as F
 
 from sitewise.operators import schema_drift as sd
 from sitewise.operators import strict_load as sl
-from sitewise.session import table
+from sitewise.session import cut_lineage, table
 from sitewise.sources import raw_csv as rc
 
 
 def intake(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Headers, columns, parse specs and loaded rows of a data directory."""
     files, lines, domains = (table(spark, sf_dir, t) for t in ("raw_files", "raw_lines", "field_domains"))
-    headers = rc.file_headers(files, lines).cache()  # one row per file
-    cols = sd.file_columns(headers, domains, sd.learn_aliases(lines, headers, domains)).cache()  # one row per file and column
+    headers = cut_lineage(rc.file_headers(files, lines))  # one row per file
+    _, cols = sd.learn_names(lines, headers, domains)
     specs = sl.parse_specs(headers, cols, domains)
     return {"lines": lines, "domains": domains, "headers": headers, "cols": cols, "specs": specs, "loaded": sl.strict_load(lines, specs)}
 
 
+def _prints(x: dict[str, DataFrame]) -> DataFrame:
+    return sd.fingerprints(x["cols"], sd.column_types(x["loaded"]))
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = intake(spark, sf_dir)
-    return sd.migration_steps(x["cols"], sd.column_types(x["loaded"]))
+    """The log of the steps that routing applied."""
+    prints = _prints(intake(spark, sf_dir))
+    return sd.route(prints, sd.migrations(prints))
 
 
 def p1_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = intake(spark, sf_dir)
-    types = sd.column_types(x["loaded"])
-    return sd.schema_versions(x["cols"], types, sd.migration_steps(x["cols"], types))
+    """Every file with the version of its schema and the number of steps that led to it."""
+    prints = _prints(intake(spark, sf_dir))
+    return sd.version_log(prints, sd.versions(prints), sd.route(prints, sd.migrations(prints)))
 
 
 def _table_of(dataset: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         x = intake(spark, sf_dir)
-        out = sd.consistent_table(x["loaded"], x["cols"], x["domains"], dataset)
+        prints = _prints(x)
+        out = sd.consistent_table(x["loaded"], prints, sd.rules_of(sd.versions(prints), x["domains"], dataset), x["domains"], dataset)
         return out.withColumn("extras", F.to_json("extras"))
 
     return run

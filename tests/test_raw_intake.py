@@ -49,9 +49,13 @@ def norm(name):
     return re.sub(r"\s", "_", name.replace('"', "").replace("﻿", "").lower().strip())
 
 
-def brute_p4(files, lines, domains):
+def _steps(cols, loaded):
+    prints = sd.fingerprints(cols, sd.column_types(loaded))
+    return sd.route(prints, sd.migrations(prints))
+
+
+def brute_p4(files, lines, domains, alias):
     rules = {(r.dataset, r.column_name): r for r in domains.itertuples()}
-    alias = {(d, n): c for d, by in sd.ALIASES.items() for c, ns in by.items() for n in ns}
     head = {r.file_id: r.line for r in lines.itertuples() if r.line_no == 1}
     dataset = dict(zip(files.file_id, files.dataset))
     found = set()
@@ -83,9 +87,12 @@ def brute_p4(files, lines, domains):
 
 
 def test_p4_equals_brute_force(spark, small):
-    files, lines, domains = (table(spark, small, t).toPandas() for t in ("raw_files", "raw_lines", "field_domains"))
+    made = [table(spark, small, t) for t in ("raw_files", "raw_lines", "field_domains")]
+    learned, _ = sd.learn_names(made[1], rc.file_headers(*made[:2]), made[2])
+    alias = {(r.dataset, r.name): r.canonical for r in learned.collect()}
+    assert ("heart_disease_cleveland", "major_vessels") in alias and not any(n in ("bmi", "smoker", "remark", "device") for _, n in alias)
     got = {tuple(r) for r in QUERIES["p4_found"](spark, small).collect()}
-    assert got == brute_p4(files, lines, domains)
+    assert got == brute_p4(*[t.toPandas() for t in made], alias)
 
 
 def test_loaded_and_rejected_are_the_whole_input(spark, small):
@@ -105,7 +112,7 @@ def _world(spark, heads_and_rows, dataset="heart_disease_cleveland"):
 def _run(spark, small, files, lines):
     domains = table(spark, small, "field_domains")
     headers = rc.file_headers(files, lines)
-    cols = sd.file_columns(headers, domains, sd.learn_aliases(lines, headers, domains))
+    _, cols = sd.learn_names(lines, headers, domains)
     specs = sl.parse_specs(headers, cols, domains)
     loaded = sl.strict_load(lines, specs)
     return headers, cols, specs, loaded, domains
@@ -133,7 +140,7 @@ def test_drift_kinds_order_case_and_delimiter(spark, small):
     c = ["age;chol;thal_scan;bmi", "50;200.0;normal;22.5", "bad;1;2;3"]
     files, lines = _world(spark, [a, b, c])
     headers, cols, specs, loaded, _ = _run(spark, small, files, lines)
-    got = {tuple(r) for r in sd.migration_steps(cols, sd.column_types(loaded)).collect()}
+    got = {tuple(r) for r in _steps(cols, loaded).collect()}
     assert got == {(2, "renamed", "thal", "thal_scan"), (2, "added", "-", "bmi"), (2, "removed", "ca", "-"), (2, "type", "chol", "chol"), (3, "type", "thal_scan", "thal_scan")}
 
 
@@ -141,18 +148,49 @@ def test_unknown_name_is_learned_from_values(spark, small):
     rows = [f"{50 + i % 9},{200 + i * 3 % 90},{i % 2}" for i in range(60)]
     files, lines = _world(spark, [["age,chol,sex", *rows], ["age,chol_total_mg,sex", *rows], ["age,sex,remark2", *[f"{50 + i % 9},{i % 2},free text" for i in range(60)]]])
     headers, cols, specs, loaded, _ = _run(spark, small, files, lines)
-    got = {tuple(r) for r in sd.migration_steps(cols, sd.column_types(loaded)).collect()}
+    got = {tuple(r) for r in _steps(cols, loaded).collect()}
     assert got == {(2, "renamed", "chol", "chol_total_mg"), (3, "removed", "chol_total_mg", "-"), (3, "added", "-", "remark2")}
 
 
+def _consistent(loaded, cols, domains, dataset):
+    prints = sd.fingerprints(cols, sd.column_types(loaded))
+    return sd.consistent_table(loaded, prints, sd.rules_of(sd.versions(prints), domains, dataset), domains, dataset)
+
+
 def test_consistent_table_keeps_every_loaded_row(spark, small):
     x = intake(spark, small)
-    n = sum(sd.consistent_table(x["loaded"], x["cols"], x["domains"], d).count() for d in sd.ALIASES)
+    n = sum(_consistent(x["loaded"], x["cols"], x["domains"], d).count() for d in ("heart_disease_cleveland", "breast_cancer_gbsg"))
     assert n == x["loaded"].count()
-    words = _world(spark, [["thal_code,bmi,age", "fixed,20,50", "7,,"]])
+    words = _world(spark, [["thal,age", "3,40", "7,41"], ["thal_code,bmi,age", "fixed,20,50", "7,,"], ["age,thal_code,bmi", "60,3,"]])
     _, cols, _, loaded, domains = _run(spark, small, *words)
-    rows = sd.consistent_table(loaded, cols, domains, "heart_disease_cleveland").orderBy("line_no").collect()
-    assert [(r.thal, r.age, r.chol, r.extras) for r in rows] == [(6.0, 50.0, None, {"bmi": "20"}), (7.0, None, None, {})]
+    rows = _consistent(loaded, cols, domains, "heart_disease_cleveland").where("file_id > 1").orderBy("file_id", "line_no").collect()
+    assert [(r.thal, r.age, r.chol, r.extras) for r in rows] == [(6.0, 50.0, None, {"bmi": "20"}), (7.0, None, None, {}), (3.0, 60.0, None, {})]
+
+
+def test_versions_are_numbered_once_and_migrations_shared(spark, small):
+    """Two series that change alike share versions and the migration between them; order of columns is no version."""
+    files = spark.createDataFrame([(i, "heart_disease_cleveland", "n", f"f{i}", p) for i, p in [(1, None), (2, 1), (3, None), (4, 3), (5, 4)]], "file_id long, dataset string, node_id string, file_name string, prev_file_id long")
+    heads = {1: "age,chol", 2: "age,chol,bmi", 3: "chol,age", 4: "bmi,age,chol", 5: "age,chol"}
+    lines = spark.createDataFrame([(i, k + 1, x) for i, h in heads.items() for k, x in enumerate([h, ",".join({"age": "50", "chol": "200", "bmi": "20"}[c] for c in h.split(","))])], "file_id long, line_no int, line string")
+    _, cols, _, loaded, _ = _run(spark, small, files, lines)
+    prints = sd.fingerprints(cols, sd.column_types(loaded))
+    steps = sd.migrations(prints)
+    assert {(r.version, r.n_files) for r in sd.versions(prints).collect()} == {(1, 3), (2, 2)} and steps.count() == 2
+    assert {tuple(r) for r in sd.route(prints, steps).collect()} == {(2, "added", "-", "bmi"), (4, "added", "-", "bmi"), (5, "removed", "bmi", "-")}
+
+
+def test_fast_pattern_never_accepts_more_than_the_check(spark, small):
+    for a, b in [(0, 0), (0, 9), (7, 23), (80, 700), (99, 1000), (1, 4000), (105, 105), (0, 120)]:
+        p = re.compile(sl.whole_numbers(a, b) and f"(?:{sl.whole_numbers(a, b)})\\Z")
+        assert [i for i in range(b + 1200) if p.match(str(i))] == list(range(a, b + 1))
+    for low, high in [(-3.0, 10.0), (80.0, 700.0), (0.5, 2.5), (-7.5, -2.0), (None, None), (3.2, 3.4)]:
+        p = re.compile(f"(?:{sl._range_pattern(low, high)})\\Z")
+        for x in [f"{s}{i}{d}" for s in ("", "-") for i in range(0, 720) for d in ("", ".", ".0", ".5", ".99")]:
+            assert not p.match(x) or ((low is None or float(x) >= low) and (high is None or float(x) <= high)), x
+    rows = ["age\tchol\tnote", "50\t200\tx", "\t50\t200\tx", "50\t\t200\tx", "x\t\t5", "50\t200\t\"a\tb\"", '"50"\t"200"\tx', "50\t+200\t", " 50 \t 2e2 \t "]
+    files, lines = _world(spark, [rows, ["note\tage", "x\t\t5", "x\t 5"]])
+    _, cols, specs, loaded, _ = _run(spark, small, files, lines)
+    assert {(r.file_id, r.line_no) for r in loaded.collect()} == {(1, 2), (1, 5), (1, 6), (1, 7), (1, 8), (1, 9), (2, 3)} - {(1, 5)}
 
 
 @pytest.mark.parametrize("name", ["p1_found", "p4_found"])
@@ -171,12 +209,12 @@ def test_nulls_strangers_and_repeats(spark, small):
     bad = {(r.file_id, r.line_no, r.reason) for r in sl.rejected(lines, specs, loaded).collect()}
     assert bad == {(2, 2, "value"), (4, 2, "columns"), (None, 2, "columns")}
     assert loaded.count() == 3  # both copies of the repeated line, and the line of the file nobody listed
-    assert sd.migration_steps(cols, sd.column_types(loaded)).count() == 0
+    assert _steps(cols, loaded).count() == 0
 
 
 def test_empty_column_names_and_repeated_headers(spark, small):
     files, lines = _world(spark, [["age,,age,thal,thal_scan", "50,,1,3,7"], [",age,thal_scan", "x,51,3"]])
     headers, cols, specs, loaded, _ = _run(spark, small, files, lines)
-    got = {tuple(r) for r in sd.migration_steps(cols, sd.column_types(loaded)).collect()}
+    got = {tuple(r) for r in _steps(cols, loaded).collect()}
     assert (2, "renamed", "thal", "thal_scan") in got and all(f == 2 for f, *_ in got)
     assert loaded.count() == 2
