@@ -9,7 +9,8 @@ its previous file's version to its own and records each step applied; that log i
 to its measurement, default what the version lacks, cast what is left; ``consistent_table`` applies them.
 
 Which names are one measurement is not listed anywhere; ``learn_names`` finds it. A new column that
-appears in the same file in which a known measurement disappears is taken for its new name if its values
+appears in the same file in which a known measurement disappears is taken for its new name if the two
+never meet in a header although by their numbers they would have to (then no values are read), or if its values
 agree with the values before (or fit the measurement's domain) and the name, the place or the lack of
 any other column that agrees supports it. A name that stands beside a measurement in any file of the dataset is never its
 new name. What is learned for a name holds for the whole dataset; passes go on until nothing is new, so
@@ -23,6 +24,8 @@ named like the domain (else the first) is the measurement, the other stands for
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +36,7 @@ from sitewise.sources import raw_csv as rc
 WORD_CODES = {"thal": {"normal": 3.0, "fixed": 6.0, "reversible": 7.0}}
 TYPE_NAMES = {1: "whole", 2: "decimal", 3: "text"}
 FIT = 0.8
+CHANCE = 1e-6
 
 
 def file_columns(headers: DataFrame, domains: DataFrame, learned: DataFrame | None = None) -> DataFrame:
@@ -79,6 +83,20 @@ def _candidates(cols: DataFrame) -> DataFrame:
     return pairs.join(beside, ["dataset", "name", "key"], "left_anti")
 
 
+def _by_absence(cols: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Names with one candidate left that stand in so many headers that, were they columns of their own, they would have met it.
+
+    A name in n headers misses a measurement that stands in a share p of all headers by chance with
+    probability (1 - p)^n, which must be below CHANCE. dataset, name, canonical.
+    """
+    single = pairs.select("dataset", "name", "key").distinct().groupBy("dataset", "name").agg(F.min("key").alias("key"), F.count("*").alias("k")).where("k = 1").drop("k")
+    files = cols.groupBy("dataset").agg(F.count_distinct("file_id").alias("n_files"))
+    named = cols.groupBy("dataset", "name").agg(F.count("*").alias("n_name"))
+    keyed = cols.where("is_domain").groupBy("dataset", "key").agg(F.count("*").alias("n_key"))
+    x = single.join(named, ["dataset", "name"]).join(keyed, ["dataset", "key"]).join(files, "dataset")
+    return cut_lineage(x.where(f"n_name * ln(greatest(1 - n_key / n_files, 1e-9)) < {math.log(CHANCE)!r}").selectExpr("dataset", "name", "key as canonical"))
+
+
 def learn_names(lines: DataFrame, headers: DataFrame, domains: DataFrame) -> tuple[DataFrame | None, DataFrame]:
     """Other names of known measurements (dataset, name, canonical; None if there are none), and ``file_columns`` by them."""
     learned, judged = None, None
@@ -91,6 +109,10 @@ def learn_names(lines: DataFrame, headers: DataFrame, domains: DataFrame) -> tup
         pairs = cut_lineage(pairs)  # changes of headers, not lines
         if pairs.isEmpty():
             return learned, cols
+        absent = _by_absence(cols, pairs)
+        if not absent.isEmpty():
+            learned = absent if learned is None else learned.unionByName(absent)
+            continue
         ruled = pairs.join(F.broadcast(rules), ["dataset", "key"], "left")
         rule = ["category", "lo", "hi", "numbers", "words"]
         wanted = ruled.select("file_id", "pos", "key", *rule).union(ruled.select("prev_file_id", "prev_pos", "key", *rule)).distinct()
