@@ -3,32 +3,33 @@
 Every document gets a uniform number from a hash of its id and the seed, and its number of copies is the
 Poisson quantile of that number at its source's rate, at most ``max_repeats``. More rate never means
 fewer copies, so the rate of a source is set by bisection on the tokens its documents would give: each
-pass counts, for a grid of rates per source, the tokens of the whole corpus in one aggregation that is
-combined before the shuffle. A source ends within one step of its grid of its target, usually less than
-one document; a source whose documents do not reach the target at ``max_repeats`` gives all it has.
+pass counts, for a grid of rates between the bounds of each source, the tokens they would give, over the
+documents whose number of copies still depends on where between the bounds the rate lies. Passes go on
+until the bounds differ by no more than the longest document of the source. A source whose documents do
+not reach the target at ``max_repeats`` gives all it has.
 
-Copies are exploded and ordered globally by a hash of document and copy, range-partitioned, so no task
-sees a whole source. Only the few sources of the target table are held on the driver.
+The targets stay a table, however many sources it names: thresholds of the quantile are made once per
+source and rate, and reach the documents by a join (a broadcast while they are small in bytes). Copies are
+exploded and ordered globally by a hash of document and copy, range-partitioned, so no task sees a whole
+source.
 
 Defined results: sources without a target (null included) give nothing; targets without documents, or
 with a share of null, NaN or below 0, get nothing and are reported; null and empty documents have no
-tokens, and their copies follow the same rule; repeated ids get equal numbers and so equal copies;
-max_repeats below 1 or null means no use; an empty corpus gives a report with zeros.
+tokens, and their copies follow the same rule; repeated ids get equal numbers and so equal copies, and a
+source may then end further than one document from its target (outcome ``nearest``); max_repeats below 1
+or null means no use; a source named twice keeps its largest share; an empty corpus gives a report with zeros.
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass, field
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitewise.session import broadcast_if_small, cut_lineage
+
 SEED = 20
 GRID = 32
-PASSES = 5
-MAX_SOURCES = 10_000
-TOP_RATE = 60.0
+BROADCAST_VALUES = 4_000_000  # thresholds (8 bytes each) that may be broadcast at once
 
 
 def uniform(key: Column, seed: int) -> Column:
@@ -36,90 +37,71 @@ def uniform(key: Column, seed: int) -> Column:
     return (F.pmod(F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
 
 
-def copies_at(u: Column, rate: Column, most: Column, most_of_all: int) -> Column:
-    """Poisson quantile of u at a rate, at most ``most``: the number of k with P(X <= k) < u."""
-    out, term, total = F.lit(0), F.exp(-rate), F.exp(-rate)
-    for k in range(most_of_all):
-        out = out + ((u > total) & (F.lit(k) < most)).cast("int")
-        term = term * rate / (k + 1)
-        total = total + term
-    return F.when(rate <= 0, 0).otherwise(out)
-
-
-@dataclass
-class Target:
-    share: float
-    most: int
-    low: float = 0.0
-    high: float = TOP_RATE
-    rate: float = 0.0
-    goal: float = 0.0
-    tokens: int = 0
-    documents: int = 0
-    met: bool = False
-    grid: list[float] = field(default_factory=list)
-
-
-def read_targets(targets: DataFrame) -> dict[str, Target]:
-    """The target table, which names at most MAX_SOURCES sources; a source named twice keeps its largest row."""
-    rows = targets.where("source is not null").limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} target sources")
-    out: dict[str, Target] = {}
-    for r in sorted(rows, key=lambda r: (r.source, r.target_share or 0.0)):
-        share = r.target_share if r.target_share is not None and math.isfinite(r.target_share) and r.target_share > 0 else 0.0
-        out[r.source] = Target(share, max(r.max_repeats or 0, 0))
-    return out
-
-
-def solve(sized: DataFrame, targets: dict[str, Target]) -> int:
-    """Set the rate of every target; ``sized`` has source, u, n_tokens. Returns the tokens of all documents."""
-    whole = {r.source: (r.n, r.s or 0) for r in sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("s")).where(F.col("source").isin(list(targets)) | F.lit(False)).collect()}
-    total = sized.agg(F.sum("n_tokens")).first()[0] or 0
-    open_ = {}
-    for s, t in targets.items():
-        t.documents, t.tokens = whole.get(s, (0, 0))
-        t.goal = t.share * total
-        t.met = 0 < t.goal <= t.tokens * t.most
-        if t.goal > 0 and t.tokens and t.most:
-            if t.met:
-                open_[s] = t
-            else:
-                t.rate = math.inf
-    for _ in range(PASSES if open_ else 0):
-        for t in open_.values():
-            step = (t.high - t.low) / (GRID + 1)
-            t.grid = [t.low + step * (i + 1) for i in range(GRID)]
-        rows = F.create_map(*[x for s, t in open_.items() for x in (F.lit(s), F.array(*[F.lit(v) for v in t.grid]))])
-        most = F.create_map(*[x for s, t in open_.items() for x in (F.lit(s), F.lit(t.most))])
-        top = max(t.most for t in open_.values())
-        x = sized.where(F.col("source").isin(list(open_)) & (F.col("n_tokens") > 0)).select("source", "u", "n_tokens", most[F.col("source")].alias("m"), F.posexplode(rows[F.col("source")]).alias("i", "rate"))
-        sums = x.groupBy("source", "i").agg(F.sum(copies_at(F.col("u"), F.col("rate"), F.col("m"), top) * F.col("n_tokens")).alias("t"))
-        by_source: dict[str, dict[int, int]] = {}
-        for r in sums.collect():  # sources times grid
-            by_source.setdefault(r.source, {})[r.i] = r.t
-        for source, at in by_source.items():
-            t, given = open_[source], [at[i] for i in range(GRID)]
-            above = next((i for i, v in enumerate(given) if v >= t.goal), GRID)
-            low, high = (t.grid[above - 1] if above else t.low), (t.grid[above] if above < GRID else t.high)
-            under, over = (given[above - 1] if above else 0), (given[above] if above < GRID else math.inf)
-            t.low, t.high = low, high
-            t.rate = low if abs(under - t.goal) <= abs(over - t.goal) else high
-    return total
-
-
-def with_copies(sized: DataFrame, targets: dict[str, Target]) -> DataFrame:
+def thresholds(rate: str, most: str) -> str:
+    """SQL: P(X <= k) of a Poisson number for k from 0 to most - 1, summed in logarithms so that no rate underflows."""
+    start = f"struct(cast(array() as array<double>) as a, -{rate} as t, 0d as s)"
+    step = f"(x, k) -> struct(concat(x.a, array(x.s + exp(x.t))) as a, x.t + ln({rate} / (k + 1)) as t, x.s + exp(x.t) as s)"
+    return f"case when {rate} > 0 then aggregate(sequence(0, {most} - 1), {start}, {step}, x -> x.a) else array_repeat(1d, {most}) end"
+
+
+def copies(u: str, at: str) -> str:
+    """SQL: the Poisson quantile of u by its thresholds: how many of them lie below u."""
+    return f"size(filter({at}, x -> x < {u}))"
+
+
+def read_targets(targets: DataFrame) -> DataFrame:
+    """source, share (0 if it is no number above 0) and most of every named source."""
+    share = "case when target_share > 0 and target_share < double('infinity') then target_share else 0d end"
+    return targets.where("source is not null").selectExpr("source", f"struct({share} as share, greatest(coalesce(max_repeats, 0), 0) as most) as t").groupBy("source").agg(F.max("t").alias("t")).select("source", "t.*")
+
+
+def _near(state: DataFrame, per_row: int) -> DataFrame:
+    """``state`` to be joined to documents: broadcast if its thresholds are few."""
+    most = state.agg(F.max("most")).first()[0] or 1
+    return broadcast_if_small(state, max(BROADCAST_VALUES // (per_row * most), 1))
+
+
+def solve(sized: DataFrame, targets: DataFrame) -> tuple[DataFrame, int]:
+    """The targets with the rate of each (null: gives nothing; infinite: all it has) and the tokens of all documents.
+
+    ``sized`` has source, u, n_tokens.
+    """
+    per = cut_lineage(sized.groupBy("source").agg(F.count("*").alias("n_documents"), F.sum("n_tokens").alias("source_tokens"), F.max("n_tokens").alias("longest")))
+    total = per.agg(F.sum("source_tokens")).first()[0] or 0
+    known = targets.join(per, "source", "left").na.fill(0, ["n_documents", "source_tokens", "longest"]).withColumn("goal", F.expr(f"share * {float(total)!r}d"))
+    usable = "goal > 0 and source_tokens > 0 and most > 0"
+    kind = f"case when not ({usable}) then 'none' when goal >= source_tokens * most then 'all' else 'open' end"
+    # at the upper bound no uniform number is left below the last threshold
+    state = cut_lineage(known.selectExpr("*", f"{kind} as kind", "0d as low", "most + 10 * sqrt(most) + 50 as high", "0L as under", "source_tokens * most as over"))
+    while True:
+        active = state.where("kind = 'open' and over - under > longest and high - low > high * 1e-13")
+        if active.isEmpty():
+            break
+        state = cut_lineage(_pass(sized, state, active))
+    rate = "case kind when 'all' then double('infinity') when 'open' then case when goal - under <= over - goal then low else high end end"
+    return state.selectExpr("source", "share", "most", "n_documents", "source_tokens", "longest", "goal", f"{rate} as rate"), total
+
+
+def _pass(sized: DataFrame, state: DataFrame, active: DataFrame) -> DataFrame:
+    """Narrower bounds of every source in ``active``."""
+    rates = f"transform(sequence(1, {GRID}), i -> low + (high - low) * i / {GRID + 1})"
+    grid = active.select("source", "low", "high", "most", F.expr(f"{rates} as rates"))
+    grid = grid.selectExpr("source", "most", f"{thresholds('low', 'most')} as at_low", f"{thresholds('high', 'most')} as at_high", f"transform(rates, rate -> struct(rate, {thresholds('rate', 'most')} as at)) as grid")
+    x = sized.where("n_tokens > 0").select("source", "u", "n_tokens").join(_near(grid, GRID + 2), "source")
+    x = x.selectExpr("source", "u", "n_tokens", "grid", f"{copies('u', 'at_low')} as least", f"{copies('u', 'at_high')} as top").where("top > least")
+    x = x.selectExpr("source", "u", "n_tokens", "least", "inline(grid)")
+    more = x.groupBy("source", "rate").agg(F.expr(f"sum(({copies('u', 'at')} - least) * n_tokens) as more"))
+    seen = active.select("source", "goal", "under", F.expr(f"explode({rates}) as rate")).join(more, ["source", "rate"], "left").selectExpr("source", "goal", "rate", "under + coalesce(more, 0) as given")
+    new = seen.groupBy("source").agg(*[F.expr(f"{f}(case when given {op} goal then {c} end) as {a}") for f, op, c, a in (("max", "<", "rate", "l"), ("max", "<", "given", "g"), ("min", ">=", "rate", "h"), ("min", ">=", "given", "o"))])
+    kept = [c for c in state.columns if c not in ("low", "high", "under", "over")]
+    return state.join(new, "source", "left").selectExpr(*kept, "coalesce(l, low) as low", "coalesce(h, high) as high", "coalesce(g, under) as under", "coalesce(o, over) as over")
+
+
+def with_copies(sized: DataFrame, solved: DataFrame) -> DataFrame:
     """All documents with n_copies."""
-    used = {s: t for s, t in targets.items() if t.rate > 0}
-    if not used:
-        return sized.withColumn("n_copies", F.lit(0))
-    top = max(t.most for t in used.values())
-    rate = F.create_map(*[x for s, t in used.items() for x in (F.lit(s), F.lit(-1.0 if math.isinf(t.rate) else t.rate))])
-    most = F.create_map(*[x for s, t in used.items() for x in (F.lit(s), F.lit(t.most))])
-    known = F.coalesce(F.col("source").isin(list(used)), F.lit(False))
-    x = sized.withColumn("_r", F.when(known, F.try_element_at(rate, F.col("source")))).withColumn("_m", F.when(known, F.try_element_at(most, F.col("source"))))
-    copies = F.when(~known, 0).when(F.col("_r") < 0, F.col("_m")).otherwise(copies_at(F.col("u"), F.col("_r"), F.col("_m"), top))
-    return x.withColumn("n_copies", copies.cast("int")).drop("_r", "_m")
+    used = solved.where("rate > 0").selectExpr("source", "most", "rate", f"case when rate < double('infinity') then {thresholds('rate', 'most')} end as at")
+    x = sized.join(_near(used.withColumnsRenamed({"rate": "_rate", "at": "_at", "most": "_most"}).withColumn("most", F.col("_most")), 1).drop("most"), "source", "left")
+    return x.withColumn("n_copies", F.expr(f"case when _rate is null then 0 when _at is null then _most else {copies('u', '_at')} end")).drop("_rate", "_at", "_most")
 
 
 def shuffled(mixed: DataFrame, key: str, seed: int) -> DataFrame:
@@ -128,11 +110,10 @@ def shuffled(mixed: DataFrame, key: str, seed: int) -> DataFrame:
     return rows.withColumn("order_key", F.xxhash64(key, "copy_no", F.lit(seed + 1))).orderBy("order_key", key, "copy_no")
 
 
-def report(mixed: DataFrame, targets: dict[str, Target], total: int) -> DataFrame:
-    """Per target source: what it was to give and what it gives."""
-    spark = mixed.sparkSession
+def report(mixed: DataFrame, solved: DataFrame, total: int) -> DataFrame:
+    """Per target source: what it was to give and what it gives; ``met`` by the tokens really given."""
     given = mixed.where("n_copies > 0").groupBy("source").agg(F.count("*").alias("n_used"), F.sum("n_copies").alias("n_copies"), F.max("n_copies").alias("most_copies"), F.sum(F.col("n_copies") * F.col("n_tokens")).alias("mixed_tokens"))
-    rows = [(s, t.share, t.most, t.documents, t.tokens, t.goal, "met" if t.met else "no documents" if not t.tokens else "no target" if t.goal <= 0 or not t.most else "too few documents") for s, t in sorted(targets.items())]
-    plan = spark.createDataFrame(rows, "source string, target_share double, max_repeats int, n_documents long, source_tokens long, target_tokens double, outcome string")
-    both = plan.join(given, "source", "left").na.fill(0, ["n_used", "n_copies", "most_copies", "mixed_tokens"])
-    return both.withColumn("actual_share", F.round(F.coalesce(F.try_divide("mixed_tokens", F.lit(float(total))), F.lit(0.0)), 6))
+    both = solved.join(given, "source", "left").na.fill(0, ["n_used", "n_copies", "most_copies", "mixed_tokens"])
+    outcome = "case when source_tokens = 0 then 'no documents' when goal <= 0 or most = 0 then 'no target' when goal > source_tokens * most then 'too few documents' when abs(mixed_tokens - goal) <= longest then 'met' else 'nearest' end"
+    share = f"round(coalesce(try_divide(mixed_tokens, {float(total)!r}d), 0d), 6)"
+    return both.selectExpr("source", "share as target_share", "most as max_repeats", "n_documents", "source_tokens", "goal as target_tokens", f"{outcome} as outcome", "n_used", "n_copies", "most_copies", "mixed_tokens", f"{share} as actual_share")

@@ -9,12 +9,11 @@ from sitewise.llm import encoding, mixing
 from sitewise.session import table
 
 
-def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, mixing.Target], int]:
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
     """Documents with tokens and copies; the texts themselves are encoded once."""
     sized = encoding.token_counts(table(spark, sf_dir, "documents"), ["doc_id", "source"], "text").withColumn("u", mixing.uniform(F.col("doc_id"), mixing.SEED)).persist()
-    targets = mixing.read_targets(table(spark, sf_dir, "mix_targets"))
-    total = mixing.solve(sized, targets)
-    return mixing.with_copies(sized, targets), targets, total
+    solved, total = mixing.solve(sized, mixing.read_targets(table(spark, sf_dir, "mix_targets")))
+    return mixing.with_copies(sized, solved), solved, total
 
 
 def p7_copies(spark: SparkSession, sf_dir: str) -> DataFrame:

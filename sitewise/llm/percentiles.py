@@ -3,16 +3,18 @@
 The mergeable summary of a column is its *cells*: counts by group and value, optionally with values
 rounded to a resolution. Cells of several days or nodes add up to the cells of any larger group, and a
 percentile is found on cells alone. For every group and percentile an interval of values is kept that
-holds the target rank; a pass counts the rows at or below each midpoint, and the interval shrinks to
-the half that holds the rank, with its ends moved to values that occur. It ends when both ends agree.
+holds the target rank; a pass counts the rows below the midpoints of six halvings at once (63 of them),
+and the interval shrinks to the part that holds the rank, with its ends moved to values that occur. It
+ends when both ends agree.
 
 Error: the value at rank ceil(p * n / 100) of the sorted values exactly; with a resolution r each value
-is off by at most r / 2 and the rank stays exact for the rounded values. Passes: at most the bits of a
-double, usually log2(range / gap).
+is off by at most r / 2 and the rank stays exact for the rounded values. Passes: at most a sixth of the
+bits of a double, usually log64(range / gap), so two to four.
 
-Layout: counts are combined before every shuffle. Cells are laid out once by group, cached, and each
-pass only moves one row per group. Groups with many distinct values (a node with a third of all rows,
-the total) are split over several tasks by a salt of the value, so that no task holds a whole one.
+Layout: counts are combined before every shuffle. Cells are cached once; while the open intervals are
+few they go to the cells, and each pass moves only the counts between midpoints. Beyond that the cells are
+laid out once by group, those of groups with many distinct values (a node with a third of all rows, the
+total) split over several tasks by a salt of the value, and the intervals come to them.
 
 Defined results: null and NaN are missing; a group without values has no row; -0.0 is 0.0; infinities
 are values like others; empty input gives no rows; ties need no rule, as equal values are one cell.
@@ -22,7 +24,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitewise.session import broadcast_if_small, cut_lineage
@@ -30,6 +32,8 @@ from sitewise.session import broadcast_if_small, cut_lineage
 PERCENTS = (5, 25, 50, 75, 95)
 MAX_DOUBLE = 1.7976931348623157e308
 SPLIT_VALUES = 500_000
+PARTS = 64
+FEW_GROUPS = 20_000
 
 
 def cells(df: DataFrame, keys: list[str], columns: list[str], resolution: float = 0.0) -> DataFrame:
@@ -44,53 +48,58 @@ def merged(parts: DataFrame, keys: list[str]) -> DataFrame:
     return parts.groupBy(*keys, "column_name", "value").agg(F.sum("cnt").alias("cnt"))
 
 
-def _mid(lo: Column, hi: Column) -> Column:
-    inside = lambda x: F.greatest(F.least(x, F.lit(MAX_DOUBLE)), F.lit(-MAX_DOUBLE))
-    m = inside(lo) / 2 + inside(hi) / 2
-    return F.when((m >= lo) & (m < hi), m).otherwise(lo)
+def _part(low: str, high: str) -> str:
+    """The number of midpoints of an interval at or below ``value``; its ends always fall apart."""
+    half = lambda x: f"greatest(least({x}, {MAX_DOUBLE!r}d), -{MAX_DOUBLE!r}d) / 2"
+    at = f"floor(({half('value')} - {half(low)}) / ({half(high)} - {half(low)}) * {PARTS})"
+    return f"cast(case when value = {low} then 0 when value = {high} then {PARTS - 1} else least(greatest({at}, 0), {PARTS - 1}) end as int)"
 
 
 def bisect(parts: DataFrame, keys: list[str], percents: tuple[int, ...] = PERCENTS) -> DataFrame:
     """Percentiles of each group of ``keys`` and column from its cells: keys, column_name, n, p<percent>..."""
     group = [*keys, "column_name"]
-    spark = parts.sparkSession
-    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    sizes = parts.groupBy(*group).agg(F.sum("cnt").alias("n"), F.count("*").alias("n_values"), F.min("value").alias("min"), F.max("value").alias("max"))
-    start = sizes.select(*group, "n", F.ceil(F.col("n_values") / SPLIT_VALUES).cast("int").alias("parts"), *[x for p in percents for x in (F.greatest(F.lit(1), F.floor((F.col("n") * p + 99) / 100)).cast("long").alias(f"r{p}"), F.col("min").alias(f"lo{p}"), F.col("max").alias(f"hi{p}"), F.lit(0).cast("long").alias(f"c{p}"))])
-    state = cut_lineage(start)
-    hot = broadcast_if_small(state.where("parts > 1").select(*group, "parts"))
-    salted = parts.join(hot, group, "left").withColumn("salt", F.pmod(F.xxhash64("value"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-    laid = salted.repartition(width, *group, "salt").persist()
-    solved = lambda s: reduce(lambda a, b: a & b, [F.col(f"lo{p}") == F.col(f"hi{p}") for p in percents])
-    done: list[DataFrame] = []
+    parts = parts.persist()  # cells: read by the sizes and by every pass
+    laid, on = parts, group
     try:
+        sizes = cut_lineage(parts.groupBy(*group).agg(F.sum("cnt").alias("n"), F.count("*").alias("n_values"), F.min("value").alias("lo"), F.max("value").alias("hi")))
+        ranks = ", ".join(f"struct({p} as p, greatest(1, (n * {p} + 99) div 100) as r)" for p in percents)
+        state = sizes.selectExpr(*group, "n", "lo", "hi", "0L as c", f"inline(array({ranks}))")
+        if sizes.limit(FEW_GROUPS + 1).count() > FEW_GROUPS:
+            laid, on = _laid(parts, sizes, group), [*group, "salt"]
+        done: list[DataFrame] = []
         while True:
-            done.append(state.where(solved(state)))
-            active = state.where(~solved(state))
+            done.append(state.where("lo = hi"))
+            active = state.where("lo < hi")
             if active.isEmpty():
                 break
-            state = cut_lineage(_pass(laid, active, group, percents, width))
+            state = cut_lineage(_pass(laid, active, group, on, sizes))
     finally:
-        laid.unpersist()
-    return reduce(DataFrame.unionByName, done).select(*group, "n", *[F.col(f"lo{p}").alias(f"p{p:02d}") for p in percents])
-
-
-def _pass(laid: DataFrame, active: DataFrame, group: list[str], percents: tuple[int, ...], width: int) -> DataFrame:
-    """One narrowing of every open interval."""
-    spread = active.select(*group, "parts", *[x for p in percents for x in (f"lo{p}", f"hi{p}")], *[_mid(F.col(f"lo{p}"), F.col(f"hi{p}")).alias(f"m{p}") for p in percents])
-    spread = spread.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts").repartition(width, *group, "salt")
-    v = F.col("value")
-    inside = {p: (v >= F.col(f"lo{p}")) & (v <= F.col(f"hi{p}")) & (F.col(f"lo{p}") < F.col(f"hi{p}")) for p in percents}
-    hit = laid.join(spread.hint("shuffle_hash"), [*group, "salt"]).where(reduce(lambda a, b: a | b, inside.values()))
-    sums = []
-    for p in percents:
-        left, right = inside[p] & (v <= F.col(f"m{p}")), inside[p] & (v > F.col(f"m{p}"))
-        sums += [F.sum(F.when(left, F.col("cnt"))).alias(f"below{p}"), F.max(F.when(left, v)).alias(f"left{p}"), F.min(F.when(right, v)).alias(f"right{p}")]
-    counted = hit.groupBy(*group).agg(*sums)
-    both = active.join(counted, group)
-    out = [*group, "n", "parts"]
-    for p in percents:
-        lo, hi, c, below = F.col(f"lo{p}"), F.col(f"hi{p}"), F.col(f"c{p}"), F.coalesce(F.col(f"below{p}"), F.lit(0))
-        open_, lower = lo < hi, c + below >= F.col(f"r{p}")
-        out += [F.col(f"r{p}"), F.when(open_ & ~lower, F.col(f"right{p}")).otherwise(lo).alias(f"lo{p}"), F.when(open_ & lower, F.col(f"left{p}")).otherwise(hi).alias(f"hi{p}"), F.when(open_ & ~lower, c + below).otherwise(c).alias(f"c{p}")]
-    return both.select(*out)
+        if laid is not parts:
+            laid.unpersist()
+        parts.unpersist()
+    found = reduce(DataFrame.unionByName, done).groupBy(*group).agg(F.first("n").alias("n"), *[F.expr(f"max(case when p = {p} then lo end) as p{p:02d}") for p in percents])
+    return found
+
+
+def _laid(parts: DataFrame, sizes: DataFrame, group: list[str]) -> DataFrame:
+    """The cells by group, with a salt for groups of many values."""
+    spark = parts.sparkSession
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    hot = broadcast_if_small(sizes.selectExpr(*group, f"cast(ceil(n_values / {SPLIT_VALUES}) as int) as parts").where("parts > 1"))
+    salted = parts.join(hot, group, "left").withColumn("salt", F.expr("cast(pmod(xxhash64(value), coalesce(parts, 1)) as int)")).drop("parts")
+    return salted.repartition(width, *group, "salt").persist()
+
+
+def _pass(laid: DataFrame, active: DataFrame, group: list[str], on: list[str], sizes: DataFrame) -> DataFrame:
+    """One narrowing of every open interval; percentiles that share an interval are counted once."""
+    open_ = active.select(*group, "lo", "hi").distinct()
+    if "salt" in on:
+        open_ = open_.join(sizes.select(*group, "n_values"), group).withColumn("salt", F.expr(f"explode(sequence(0, cast(ceil(n_values / {SPLIT_VALUES}) as int) - 1))")).drop("n_values").hint("shuffle_hash")
+    else:
+        open_ = F.broadcast(open_)  # at most one interval per percentile of FEW_GROUPS groups
+    hit = laid.join(open_, on).where("value between lo and hi").withColumn("part", F.expr(_part("lo", "hi")))
+    counted = hit.groupBy(*group, "lo", "hi", "part").agg(F.sum("cnt").alias("cnt"), F.min("value").alias("first"), F.max("value").alias("last"))
+    run = Window.partitionBy(*group, "lo", "hi").orderBy("part")  # at most PARTS rows
+    counted = counted.withColumn("upto", F.sum("cnt").over(run))
+    both = active.join(counted, [*group, "lo", "hi"]).where("c + upto >= r and c + upto - cnt < r")
+    return both.selectExpr(*group, "n", "first as lo", "last as hi", "c + upto - cnt as c", "p", "r")

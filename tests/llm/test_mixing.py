@@ -11,7 +11,7 @@ from sitewise.llm.mixing_queries import QUERIES
 def world(spark, docs, targets):
     d = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long").withColumn("u", mixing.uniform(F.col("doc_id"), 20)).persist()
     t = mixing.read_targets(spark.createDataFrame(targets, "source string, target_share double, max_repeats int"))
-    total = mixing.solve(d, t)
+    t, total = mixing.solve(d, t)
     mixed = mixing.with_copies(d, t)
     return mixed, {r.source: r for r in mixing.report(mixed, t, total).collect()}, total
 
@@ -36,13 +36,23 @@ def test_targets_caps_and_report(spark):
     assert caps["a"] <= 1 and caps["b"] <= 3 and caps["c"] <= 2 and caps["d"] <= 6
 
 
-def test_copies_follow_the_poisson_quantile(spark):
-    lam, us = 1.7, np.linspace(0.01, 0.99, 99)
-    df = spark.createDataFrame([(float(u),) for u in us], "u double").withColumn("k", mixing.copies_at(F.col("u"), F.lit(lam), F.lit(5), 5))
-    p = np.cumsum([np.exp(-lam) * lam**k / np.prod(np.arange(1, k + 1)) for k in range(5)])
+@pytest.mark.parametrize("lam,most", [(1.7, 5), (0.01, 3), (60.0, 80), (900.0, 1000)])
+def test_copies_follow_the_poisson_quantile(spark, lam, most):
+    us = np.linspace(0.01, 0.99, 99)
+    df = spark.createDataFrame([(float(u),) for u in us], "u double").selectExpr("u", f"{mixing.thresholds(f'{lam}d', str(most))} as at").selectExpr(f"{mixing.copies('u', 'at')} as k")
+    logs = -lam + np.cumsum(np.concatenate([[0.0], np.log(lam / np.arange(1, most))]))
+    p = np.cumsum(np.exp(logs))
     assert [r.k for r in df.collect()] == [int((u > p).sum()) for u in us]
 
 
+def test_eighty_repetitions_and_equal_numbers(spark):
+    docs = [(i, "few", 10 + i % 5) for i in range(40)] + [(i, "many", 30) for i in range(100, 3000)] + [(7, "same", 5)] * 20
+    _, rep, total = world(spark, docs, [("few", 36_000 / 88_000, 100), ("many", 0.3, 1), ("same", 30 / 88_000, 3)])
+    few = rep["few"]
+    assert few.outcome == "met" and few.target_tokens > 60 * few.source_tokens and abs(few.mixed_tokens - few.target_tokens) <= 14
+    assert rep["same"].outcome == "nearest" and rep["same"].mixed_tokens in (0, 100)
+
+
 def test_shuffle_is_whole_and_unordered(spark):
     mixed, _, _ = world(spark, corpus(600), [("a", 0.5, 2), ("b", 0.5, 4)])
     rows = mixing.shuffled(mixed, "doc_id", 20).collect()

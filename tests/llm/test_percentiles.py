@@ -41,6 +41,7 @@ def test_against_sorting_with_ties_tails_and_missing(spark):
 
 def test_hot_group_is_split_and_stays_exact(spark, monkeypatch):
     monkeypatch.setattr(pt, "SPLIT_VALUES", 50)
+    monkeypatch.setattr(pt, "FEW_GROUPS", 0)
     v = list(np.random.default_rng(5).normal(0, 1, 3000))
     got = run(spark, [("hot", float(x)) for x in v] + [("small", 1.0), ("small", 2.0)])
     assert got["hot"]["p50"] == nearest_rank(v, 50)
