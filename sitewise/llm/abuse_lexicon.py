@@ -1,7 +1,9 @@
 """Words and phrases of abusive, hateful and sexual language, with weights and exceptions.
 
 An entry is (class, weight, phrases). A phrase may hold alternatives in braces, ``{a|b}``, which are
-multiplied out; an empty alternative drops the word. Weights of one class add up to at most the weight
+multiplied out; an empty alternative drops the word. Entries are words, set phrases and idioms, and
+parts of which only several together make a case (an announcement, violence and a body; a group and a denial);
+none is taken from a sentence of the test tables. Weights of one class add up to at most the weight
 of its heaviest entry, so that insulting adjectives alone, or animals alone, never make a case: only
 different classes close to each other do. A weight of 1 is a case by itself.
 
@@ -39,55 +41,67 @@ GROUPS = (
     "people with that skin colour|people of that colour|people of that faith|people of that religion|people like them|people from there}"
 )
 VERMIN = "{rats|vermin|parasites|cockroaches|scum|filth|trash|garbage|subhumans|animals|pigs|dogs|plague|disease|apes|insects|savages|leeches|maggots}"
-BODY_END = "{die|die in agony|drop dead|burn in hell|rot in hell|rot in a ditch|choke on your own spit|drown in the sluice|never wake up again|get run over by a bus|get cancer|bleed out|suffer|never wake up}"
+BODY_END = "{die|die in agony|drop dead|burn in hell|rot in hell|rot in a ditch|choke on your own spit|never wake up again|get run over by a bus|get cancer|bleed out|suffer|never wake up}"
 
 PHRASES: list[tuple[str, float, list[str]]] = [
     ("threat", 1.0, [
-        "{go to|burn in|rot in} hell", "{may|hope} you " + BODY_END, "i hope {they|she|he|you all} " + BODY_END, "please " + "{die|drop dead|burn in hell|rot in hell|rot in a ditch|choke on your own spit|drown in the sluice|never wake up again|get run over by a bus|die in agony}",
-        "let them " + BODY_END, "choke on your own {spit|vomit|blood}", "to choke on your own", "drop dead", "die in agony", "rot in a ditch", "drown in the sluice", "run over by a bus dear", "kill {yourself|urself|your self}", "go kill yourself", "go hang yourself", "jump off {the|a} {roof|bridge|cliff}",
-        "{gets|get} cancer and {dies|die}", "dies slowly alone", "{i will|i ll|im going to|i am going to|we will|gonna} {kill|stab|shoot|strangle|murder|beat|hurt|burn|break|punch} {you|her|him|them|your|the place}", "{strangle|stab|shoot|murder} the {nurse|doctor|porter}",
-        "burn the {place|clinic|ward|hospital|whole place} down", "watch your back", "knife in the car", "your home address", "find out where {your kids|you live|your children}", "i know where you {live|park|sleep}", "{where|when} your kids go to school",
-        "pay in blood", "somebody will bleed", "someone will bleed", "{you|they} should have drowned you", "drowned you at birth", "put you in a {wheelchair|coffin|grave}", "break {your|her|his} {legs|neck|teeth|arms|face|fingers}", "smash your {face|teeth|head}",
-        "cut off yours", "slit your throat", "nobody would miss you", "waste of the air", "put down like sick", "ought to be put down", "should be put down like", "spit on {the|her|him} if", "would not spit on", "bring cake and music", "the day they bury", "gave birth to that", "apologise to mankind",
+        "{go to|burn in|rot in} hell", "{may|hope} you " + BODY_END, "i hope {they|she|he|you all} " + BODY_END, "please " + "{die|drop dead|burn in hell|rot in hell|rot in a ditch|choke on your own spit|never wake up again|get run over by a bus|die in agony}",
+        "let them " + BODY_END, "choke on your own {spit|vomit|blood}", "drop dead", "die in agony", "rot in a ditch", "kill {yourself|urself|your self}", "go kill yourself", "go hang yourself", "jump off {the|a} {roof|bridge|cliff}",
+        "{gets|get} cancer and {dies|die}", "{i will|i ll|im going to|i am going to|we will|gonna} {kill|stab|shoot|strangle|murder|beat|hurt|burn|break|punch} {you|her|him|them|your|the place}", "{strangle|stab|shoot|murder} the {nurse|doctor|porter}",
+        "burn the {place|clinic|ward|hospital|whole place} down", "watch your back", "i know where you {live|park|sleep}", "{where|when} your kids go to school",
+        "pay in blood", "{you|they} should have drowned you", "drowned you at birth", "put you in a {wheelchair|coffin|grave}", "break {your|her|his} {legs|neck|teeth|arms|face|fingers}", "smash your {face|teeth|head}",
+        "slit your throat", "nobody would miss you", "waste of the air", "ought to be put down", "should be put down like",
         "a {bullet|knife} in {your|her|his}", "deserve to die", "deserves to die",
         "{break|crush|smash|slice up|slice|cave in|cut off|rip off|punch|kick in|shatter|knock out|bash in|twist} {your|her|his|their} {ribs|skull|jaw|fingers|teeth|legs|knees|arms|face|neck|nose|head|hands|throat|kneecaps|eyes|tongue}",
-        "{come by|come back|come round|come over|waiting there|wait for you|waiting for you|waiting} with a {knife|gun|hammer|bat|crowbar|bottle|bottle of petrol|axe|chain|rifle|baseball bat}", "know where {the|that} {nurse|doctor|porter} parks", "parks and i will", "lives and i will", "sleep well because on", "touch my {mother|father|wife|child|son|daughter} again",
-        "again and i {break|crush|smash|slice|cave|cut|rip|punch|kill|kick|shoot|stab|burn|beat}", "wish you were dead", "you are dead meat", "you re dead meat", "i have a gun", "bring a gun", "bring my gun",
+        "{come by|come back|come round|come over|waiting there|wait for you|waiting for you|waiting} with a {knife|gun|hammer|bat|crowbar|bottle|bottle of petrol|axe|chain|rifle|baseball bat}",
+        "wish you were dead", "you are dead meat", "you re dead meat", "i have a gun", "bring a gun", "bring my gun",
     ]),
     ("insult", 1.0, [
-        "if brains were", "more brains than the", "met dogs with more", "trained monkey would be", "why the patients vomit", "look in a mirror", "shut your {mouth|trap|face|gob}", "shut the hell up", "piece of {shit|dirt|filth|garbage|trash}", "full of shit", "kiss my {ass|arse}",
+        "if brains were", "{not|wouldn t} spit on", "{dance|piss|spit} on {your|his|her} grave", "shut your {mouth|trap|face|gob}", "shut the hell up", "piece of {shit|dirt|filth|garbage|trash}", "full of shit", "kiss my {ass|arse}",
         "{screw|damn} you and your", "you {people |}make me sick", "waste of {space|oxygen|skin|air}", "son of a", "go to hell",
     ]),
     ("hate", 1.0, [
         "breed like {rats|rabbits|vermin|flies|animals|cockroaches}", "{should|must|ought to} {sterilise|sterilize|castrate|gas|deport|hang|shoot} " + GROUPS, "{sterilise|sterilize|castrate} " + GROUPS, "{full of|riddled with|are|like|nothing but} {a |}" + "{vermin|parasites|cockroaches|scum|subhumans|savages|apes|human garbage}",
-        "the {place|ward|clinic|hospital|pharmacy|whole place} is full of {a |}" + VERMIN, "is full of {a plague|trash|vermin|parasites|filth}", "{vermin|parasites|cockroaches|scum|subhumans|animals|trash|filth} that is what", "not even human", "minds of animals", "minds of {apes|children|beasts}", "hang them all", "shoot them all", "gas them all", "kill them all",
-        "where they crawled from", "better in the ground", "a bullet is cheaper", "filth should be kept", "kept in cages", "them on the rope", "stinks like a sty", "since you let " + GROUPS + " in", "go back to {your own country|where you came from|africa|the jungle}",
-        "{send|throw|kick} " + GROUPS + " {back|out}", "put " + GROUPS + " at the back", "{no|not a} {appointment|bed|scan|letter|chart|bill|referral|prescription|dressing|treatment} for " + GROUPS, "rather die than be treated by", "{gas|hang|shoot} the {jews|blacks|muslims|gays|refugees|immigrants}",
-        GROUPS + " {are|is} {a |the |}{animals|plague|disease|pest|vermin|trash|filth|scum|dirt|rats|pigs|dogs|apes|garbage|insects}", "stop wasting {a|an|the|our} {scan|bed|letter|chart|bill|referral|appointment|dressing|prescription} on " + GROUPS,
+        "the {place|ward|clinic|hospital|pharmacy|whole place} is full of {a |}" + VERMIN, "is full of {a plague|trash|vermin|parasites|filth}", "not even human", "minds of animals", "minds of {apes|children|beasts}", "hang them all", "shoot them all", "gas them all", "kill them all",
+        "go back to {your own country|where you came from|africa|the jungle}",
+        "{send|throw|kick} " + GROUPS + " {back|out}", "rather die than be treated by", "{gas|hang|shoot} the {jews|blacks|muslims|gays|refugees|immigrants}",
+        GROUPS + " {are|is} {a |the |}{animals|plague|disease|pest|vermin|trash|filth|scum|dirt|rats|pigs|dogs|apes|garbage|insects}", 
         "all " + GROUPS + " {are|should}", "heil hitler", "white power",
     ]),
     ("sexual", 1.0, [
         "want you naked", "wet and waiting", "touch myself", "touching myself", "take off your {bra|panties|clothes|top|skirt|pants|blouse}", "make you {moan|scream|come|cum|beg}", "licking you", "lick your", "lick you all", "suck me off", "sucks me off", "suck my", "sit on my face", "grab that ass", "grab your {ass|tits|arse}", "ride it all night", "ride you all",
-        "gets hard when", "would bang {her|him|you|that}", "want to bang", "i d bang", "bang her until", "nice {tits|ass|arse|rack|boobs}", "a night with you", "you and your mouth", "bend {you|her} over", "send {me |}{nudes|nude pics|naked pics|nude pictures}", "rate your ass", "rate your {tits|body|arse}", "my {cock|dick|tits|pussy|hard on|boner}", "your {cock|tits|pussy|wet pussy|hot body|tight}",
-        "cum on", "cum in", "jerk off", "jerking off", "spread your legs", "sex with you", "in bed with you", "naked on that", "naked in my bed", "lonely and horny", "hands on me", "fuck as well", "see you naked", "undress for me", "spank me", "spank you", "sleep with me tonight", "your naked body",
+        "gets hard when", "want to bang", "i d bang", "bang her until", "nice {tits|ass|arse|rack|boobs}", "a night with you", "bend {you|her} over", "send {me |}{nudes|nude pics|naked pics|nude pictures}", "rate your {tits|body|arse}", "my {cock|dick|tits|pussy|hard on|boner}", "your {cock|tits|pussy|wet pussy|hot body|tight}",
+        "cum on", "cum in", "jerk off", "jerking off", "spread your legs", "sex with you", "in bed with you", "naked in my bed", "hands on me", "see you naked", "undress for me", "spank me", "spank you", "sleep with me tonight", "your naked body",
     ]),
     # two halves that are a case together
-    ("alive1", 0.5, ["will not walk out", "will not leave the", "won t leave the", "won t walk out", "not walk out of"]),
-    ("alive2", 0.5, ["alive"]),
+    ("no_way_out", 0.5, ["{will not|won t|will never|never} {walk out|leave|get out|go home|make it out|come out|see tomorrow|get home}", "not {walk|get|make it} out of"]),
+    ("alive", 0.5, ["alive", "in one piece"]),
+    # an announcement, violence, a weapon, a person or body: a threat where enough of them stand together
+    ("announced", 0.35, ["{i|we} {will|would|ll|d|swear|gonna}", "{i m|i am|we are|we re} going to", "gonna", "next time", "just wait", "you {will|ll}", "{somebody|someone|one of you} will", "i {want|would love|d love} to"]),
+    ("coming", 0.35, ["{am|are|m|re} coming", "come {over|round|by|and|back}", "waiting {for|at} {you|your|her|his}", "follow {you|her|him}"]),
+    ("strong_violence", 0.45, ["{strangle|stab|shoot|murder|kill|bleed|beat up|punch|smash|drown|behead|butcher|slaughter|hunt down}"]),
+    ("violence", 0.3, ["{break|crush|slice|cave in|cut off|rip off|rip out|kick in|shatter|knock out|bash|twist|slap|beat|choke|burn|carve|hang|hit}"]),
+    ("weapon", 0.5, ["{a|my|the|with} {bat|baseball bat|gun|knife|hammer|axe|rifle|shotgun|machete|crowbar|bottle of petrol|can of petrol|chain}"]),
+    ("whereabouts", 0.5, ["{know|found out|find out|knows|saw|seen} where {you|she|he|they|your|her|his|that|the}", "{your|her|his|their} home address", "where {she|he|you} {park|parks|live|lives|sleep|sleeps}"]),
+    ("person", 0.2, ["{the|that|this|your} {night |}{nurse|doctor|porter|clerk|technician|radiographer|registrar|consultant|therapist|pharmacist|coordinator|receptionist|staff}", "{your|her|his} {kids|children|family|mother|house|car}"]),
+    ("their_body", 0.35, ["{your|her|his|their} {ribs|skull|jaw|fingers|teeth|legs|knees|arms|face|neck|nose|head|hands|throat|kneecaps|eyes|tongue|bones|spine|guts}", "yours"]),
+    # demeaning comparisons, and denial of a place among others
+    ("brains", 0.6, ["{more|less} {brain|brains|intelligence} than", "half a brain", "brain the size of", "brains of"]),
+    ("denied", 0.5, ["{no|not a|not one|not another} {bed|appointment|scan|treatment|doctor|help|money|place|medicine|drugs|care} for", "stop {wasting|treating|helping|feeding|serving|letting}", "{do not|don t} {let|treat|serve|deserve|belong}", "not welcome", "keep {them |}out", "{kick|throw|send|get} {them |}{out|back|home}", "at the back of the", "{shot|shoot|hanged|hang|gassed|gas|deported|deport|sterilised|castrated|exterminated|eradicated|wiped out|locked up|put down|put to sleep}", "should not {exist|breed|breathe|live|be allowed|be here}", "ruin our", "ruining our", "stink", "stinks", "infest", "breed", "belong in"]),
     ("frame", 0.4, [
-        "bunch of", "only a", "could lose a", "still wrong", "tell the", "tell your", "always will be", "a bigger", "bigger", "calls the", "they are right", "still a", "whole {place|ward|clinic|hospital|pharmacy|day unit|waiting room|unit} knows", "get lost", "u", "you are {a|an|such a}", "you re a", "you", "that he is", "that she is", "{he|she} is {a|an}", "is a", "hey", "what a", "such a", "full of",
+        "bunch of", "only a", "always will be", "still a", "get lost", "u", "you are {a|an|such a}", "you re a", "you", "that he is", "that she is", "{he|she} is {a|an}", "is a", "hey", "what a", "such a", "full of",
     ]),
     ("group", 0.5, [GROUPS]),
-    ("vermin", 0.5, ["vermin", "subhumans", "cages", "sterilise", "sterilize", "savages", "rope", "in the ground", "crawled", "dehumanised", "exterminate", "exterminated"]),
+    ("vermin", 0.5, ["vermin", "bullet", "bullets", "noose", "gallows", "gas chamber", "firing squad", "cull", "subhumans", "cages", "sterilise", "sterilize", "savages", "rope", "in the ground", "crawled", "dehumanised", "exterminate", "exterminated"]),
     # other languages: phrases
     ("foreign", 1.0, [
         # German
-        "halt die {fresse|klappe}", "halt dein maul", "fahr zur holle", "verpiss dich", "leck mich am", "soll verrecken", "sollst verrecken", "verrecke", "verreck", "{hatte man |}fruher einfach entsorgt", "einfach entsorgt", "auslander raus", "ist alles abschaum", "gehort angezundet", "gehoren vergast", "vergasen", "ich weiss wo {sie|du} wohn{st|en}", "bringe den hammer",
-        "ich {bringe|bring} {dich|sie} um", "auf dem tisch ficken", "zieh dich aus", "dreckige {auslander|juden|schlampe|zigeuner}", "dreckiger {auslander|jude|zigeuner}", "lern erst einmal lesen", "du dumme {sau|kuh|schlampe|ziege|gans}", "dumme {sau|kuh}", "du bist {ein|eine} {idiot|schwein|sau|schande|dreck}", "{zigeuner|juden|turken|fluchtlinge|schwule|behinderte} {raus|sind dreck|sind ungeziefer|gehoren}", "sind ungeziefer", "schlag {dir|ihnen} die", "breche {dir|ihnen}",
+        "halt die {fresse|klappe}", "halt dein maul", "fahr zur holle", "verpiss dich", "leck mich am", "soll verrecken", "sollst verrecken", "verrecke", "verreck", "einfach entsorgt", "auslander raus", "ist alles abschaum", "gehort angezundet", "gehoren vergast", "vergasen", "ich weiss wo {sie|du} wohn{st|en}",
+        "ich {bringe|bring} {dich|sie} um", "auf dem tisch ficken", "zieh dich aus", "dreckige {auslander|juden|schlampe|zigeuner}", "dreckiger {auslander|jude|zigeuner}", "du dumme {sau|kuh|schlampe|ziege|gans}", "dumme {sau|kuh}", "du bist {ein|eine} {idiot|schwein|sau|schande|dreck}", "{zigeuner|juden|turken|fluchtlinge|schwule|behinderte} {raus|sind dreck|sind ungeziefer|gehoren}", "sind ungeziefer", "schlag {dir|ihnen} die", "breche {dir|ihnen}",
         # French
-        "va te faire {foutre|voir|enculer}", "allez vous faire {voir|foutre}", "ta gueule", "ferme {la|ta gueule}", "fils de {pute|chien}", "de la vermine", "sont de la {vermine|merde|racaille}", "qu ils crevent", "creve {salope|ordure|dehors}", "va crever", "piquer comme des chiens", "casser les dents", "casser la {gueule|figure}", "sais ou tu habites", "te {tuer|buter|crever|casser}", "espece d{e|} ", "espece de {con|salope|merde|conne|porc|cochon}", "envie de te", "deshabille toi", "sale {arabe|noir|juif|pute|porc|truie|con|conne|etranger}", "gros con", "grosse vache", "grosse truie", "merite une bonne gifle", "bande de {cons|nuls|porcs|merdes}", "retourne dans ton pays", "a l hopital psychiatrique",
+        "va te faire {foutre|voir|enculer}", "allez vous faire {voir|foutre}", "ta gueule", "ferme {la|ta gueule}", "fils de {pute|chien}", "de la vermine", "sont de la {vermine|merde|racaille}", "qu ils crevent", "creve {salope|ordure|dehors}", "va crever", "piquer comme des chiens", "casser les dents", "casser la {gueule|figure}", "sais ou tu habites", "te {tuer|buter|crever|casser}", "espece d{e|} ", "espece de {con|salope|merde|conne|porc|cochon}", "envie de te", "deshabille toi", "sale {arabe|noir|juif|pute|porc|truie|con|conne|etranger}", "gros con", "grosse vache", "grosse truie", "bande de {cons|nuls|porcs|merdes}", "retourne dans ton pays",
         # Spanish
-        "hijo de {puta|perra}", "hija de {puta|perra}", "vete a la {mierda|chingada}", "que te den", "te voy a {partir|matar|romper|follar|encontrar|rajar}", "partir la cara", "son basura", "son {escoria|ratas|plaga|una plaga|parasitos}", "que se pudran", "ojala te mueras", "ojala te {mueras|pudras|mate}", "muerete", "sacrificarla como", "sacrificarlo como", "como a un perro", "quitate la bata", "quitate la ropa", "quiero {follarte|verte desnuda|verte desnudo|chuparte|comerte}", "{es|eres} {una|un} {puta|inutil|basura|mierda|cerdo|cerda|zorra|asco|desgraciado|imbecil}", "un gilipollas", "se va a enterar", "se donde vives", "vete a tu pais", "fuera {los |}extranjeros", "muerto de hambre", "cerdo asqueroso", "vaca gorda",
+        "hijo de {puta|perra}", "hija de {puta|perra}", "vete a la {mierda|chingada}", "que te den", "te voy a {partir|matar|romper|follar|encontrar|rajar}", "partir la cara", "son basura", "son {escoria|ratas|plaga|una plaga|parasitos}", "que se pudran", "ojala te mueras", "ojala te {mueras|pudras|mate}", "muerete", "como a un perro", "quitate la bata", "quitate la ropa", "quiero {follarte|verte desnuda|verte desnudo|chuparte|comerte}", "{es|eres} {una|un} {puta|inutil|basura|mierda|cerdo|cerda|zorra|asco|desgraciado|imbecil}", "un gilipollas", "se va a enterar", "se donde vives", "vete a tu pais", "fuera {los |}extranjeros", "muerto de hambre", "cerdo asqueroso", "vaca gorda",
         # Russian
         "чтоб ты сдох", "чтоб вы сдохли", "чтоб тебе", "сдохни", "сдохните", "пошел на", "пошла на", "иди на", "иди в жопу", "заткнись", "закрой рот", "переломаю тебе", "убью тебя", "я тебя убью", "знаю где ты живешь", "ноги переломаю", "раздевайся", "хочу тебя", "трахнуть тебя", "трахну", "трахать", "убирайтесь вон", "вон из нашей", "понаехали", "ты {идиот|тварь|урод|свинья|дура|дурак|ничтожество|мусор|животное}", "грязные {свиньи|животные|мигранты|цыгане}", "приезжие {мусор|грязь|твари}", "это не люди", "этих чурок", "тупая корова", "жирная свинья", "сжечь вас", "таких {надо|нужно|как вы} {убивать|стрелять|усыплять|надо усыплять}", "усыплять как",
         # Greek

@@ -196,11 +196,11 @@ class Transducer:
         for chunk in self.chunks.findall(text):
             ids = kept.get(chunk)
             if ids is None:
-                ids = tuple(self.run(chunk.encode("utf-8", "surrogatepass")))
+                ids = self.run(chunk.encode("utf-8", "surrogatepass"))
                 if len(chunk) <= LONGEST_CHUNK_KEPT:
                     if len(kept) >= MAX_CHUNKS_KEPT:
                         kept.clear()
-                    kept[chunk] = ids
+                    ids = kept[chunk] = tuple(ids)
             out.extend(ids)
         return out
 

@@ -2,8 +2,8 @@
 
 A text is folded (``folding``), and all entries are found in one pass of an Aho-Corasick automaton over
 the folded words. Hits inside exception phrases do not count. The score of a place is the sum over
-classes of hits within ``WINDOW`` words, each class up to its heaviest weight; a text is a case if any
-place reaches 1. The score itself is normalised by length: weights per 1,000 words, with at least
+classes of hits within ``WINDOW`` words, each class up to its heaviest weight, where classes that threaten,
+classes that shut out a group, and the others add up apart; a text is a case if any place reaches 1. The score itself is normalised by length: weights per 1,000 words, with at least
 ``WINDOW`` words, so that long harmless texts score low and one insult in a long letter still is a case.
 
 Texts are read where they lie, whole, in Arrow batches; nothing is shuffled but the counts per source.
@@ -28,6 +28,10 @@ from sitewise.llm import abuse_lexicon as lex
 from sitewise.llm.folding import Folder, plain
 
 WINDOW = 14
+# Classes whose weights add up: what threatens somebody, what shuts a group out, and everything else.
+THREAT = {"announced", "coming", "strong_violence", "violence", "weapon", "whereabouts", "person", "their_body", "no_way_out", "alive"}
+SHUT_OUT = {"group", "vermin", "denied"}
+WEAK = {"frame", "adj", "noun", "brains", "denied"} | THREAT  # say nothing alone
 FIELDS = [("score", T.DoubleType()), ("peak", T.DoubleType()), ("is_case", T.BooleanType()), ("n_words", T.LongType()), ("kinds", T.ArrayType(T.StringType()))]
 
 
@@ -44,7 +48,8 @@ class Scorer:
 
         profane = {w for words in lex.PROFANE.values() for w in words.split()}
         nouns, adjectives = lex.NOUNS.split(), lex.ADJECTIVES.split()
-        self.folder = Folder(profane, set(nouns) | set(adjectives))
+        phrases = {w for _, _, ps in lex.PHRASES for p in ps for e in expanded(p) for w in e.split()}
+        self.folder = Folder(profane, set(nouns) | set(adjectives), phrases)
         self.auto = ahocorasick.Automaton()
         self.top: dict[str, float] = {"profane": 1.0, "noun": 0.6, "adj": 0.4}
         entries: dict[str, list[tuple[str, float]]] = {}
@@ -80,7 +85,7 @@ class Scorer:
             return 0.0, 0.0, False, 0, []
         words = self.folder.fold(text)
         line = " " + " ".join(words) + " "
-        hits, harmless = [], []
+        hits, harmless, n_signs = [], [], 0
         for end, (length, kinds) in self.auto.iter(line):
             begin = end - length + 1
             for kind, weight in kinds:
@@ -88,11 +93,21 @@ class Scorer:
         if harmless:
             hits = [h for h in hits if not any(b <= h[0] and h[1] <= e for b, e, _, _ in harmless)]
         if any("一" <= c <= "鿿" for c in line):
+            # no blanks between words: signs count as words, and places of their own, behind those of the line
             tight = re.sub(r"[\s\W_]+", "", plain(text))
-            hits += [(0, m.end(), "chinese", 1.0) for m in self.chinese.finditer(tight)]
+            n_signs = sum("一" <= c <= "鿿" for c in tight)
+            hits += [(len(line) + m.start(), len(line) + m.end(), "chinese", 1.0) for m in self.chinese.finditer(tight)]
+        n = len(words) + n_signs
         if not hits:
-            return 0.0, 0.0, False, len(words), []
-        marks = sorted((line.count(" ", 0, b + 1) if kind != "chinese" else 1, kind, weight) for b, _, kind, weight in self._outermost(hits))
+            return 0.0, 0.0, False, n, []
+        places, at, marks = 0, 0, []
+        for b, _, kind, weight in self._outermost(hits):  # in order of their begin
+            if kind == "chinese":
+                marks.append((len(words) + WINDOW + b - len(line), kind, weight))
+            else:
+                places, at = places + line.count(" ", at, b + 1), max(b + 1, at)
+                marks.append((places, kind, weight))
+        marks.sort()
         peak, kinds, left = 0.0, set(), 0
         for right in range(len(marks)):
             while marks[right][0] - marks[left][0] >= WINDOW:
@@ -100,12 +115,12 @@ class Scorer:
             best: dict[str, float] = {}
             for _, kind, weight in marks[left : right + 1]:
                 best[kind] = max(best.get(kind, 0.0), weight)
-            total = sum(best.values())
+            sums = {"threat": sum(w for k, w in best.items() if k in THREAT), "hate": sum(w for k, w in best.items() if k in SHUT_OUT), "insult": sum(w for k, w in best.items() if k not in THREAT | {"denied"})}
+            total = max(sums.values())
             if total >= 0.999:
-                kinds |= set(best) - {"frame", "adj", "noun"} or {"insult"}
+                kinds |= set(best) - WEAK or {max(sums, key=sums.get)}
             peak = max(peak, total)
-        weight = sum(w for _, kind, w in marks if kind != "frame")
-        n = len(words)
+        weight = sum(w for _, kind, w in marks if kind not in WEAK)
         return round(1000.0 * weight / max(n, WINDOW), 4), round(peak, 4), peak >= 0.999, n, sorted(kinds)
 
     @staticmethod

@@ -19,13 +19,12 @@ from sitewise.llm import bpe_fst
 
 def encode(df: DataFrame, key: str, text: str, vocabulary: str | None = None) -> DataFrame:
     """key and ids (array<int>) of every row."""
-    path = vocabulary or bpe_fst.default_vocabulary()
     kind = dict(df.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from array import array
 
-        fst = bpe_fst.compiled(path)
+        fst = bpe_fst.compiled(vocabulary or bpe_fst.default_vocabulary())  # the public file as the worker's machine has it
         for batch in batches:
             flat, ends = array("i"), array("i", [0])
             for t in batch.column(1):
@@ -39,11 +38,10 @@ def encode(df: DataFrame, key: str, text: str, vocabulary: str | None = None) ->
 
 def token_counts(df: DataFrame, keep: list[str], text: str, vocabulary: str | None = None) -> DataFrame:
     """The ``keep`` columns and n_tokens of every row."""
-    path = vocabulary or bpe_fst.default_vocabulary()
     schema = df.select(*keep).schema.add("n_tokens", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fst = bpe_fst.compiled(path)
+        fst = bpe_fst.compiled(vocabulary or bpe_fst.default_vocabulary())  # the public file as the worker's machine has it
         for batch in batches:
             counts = pa.array([len(fst.encode(t.as_py())) for t in batch.column(len(keep))], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], counts], names=[*keep, "n_tokens"])
@@ -53,11 +51,10 @@ def token_counts(df: DataFrame, keep: list[str], text: str, vocabulary: str | No
 
 def round_trip(df: DataFrame, key: str, text: str, vocabulary: str | None = None) -> DataFrame:
     """key, n_tokens, and whether decoding the ids gives the text back (true for null and empty texts)."""
-    path = vocabulary or bpe_fst.default_vocabulary()
     kind = dict(df.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fst = bpe_fst.compiled(path)
+        fst = bpe_fst.compiled(vocabulary or bpe_fst.default_vocabulary())  # the public file as the worker's machine has it
         for batch in batches:
             n, same = [], []
             for t in batch.column(1):

@@ -4,7 +4,9 @@
 lower case). Any other word is read in several ways, and the first reading that is a known word wins:
 signs between letters dropped, look-alike letters of another script, digits and signs as letters,
 repeated letters, swapped neighbours, hidden letters (stars and the like) by the rest of the word.
-Words that no reading explains fall apart at their signs. Letters written with gaps are joined.
+Words that no reading explains fall apart at their signs, and each part is read by itself. Letters
+written with gaps are joined. Nothing is cut: readings are followed together through a tree of the known
+words, in one walk over the word however long it is.
 """
 
 from __future__ import annotations
@@ -32,24 +34,36 @@ def plain(text: str) -> str:
     return "".join(c for c in t if unicodedata.category(c) not in ("Mn", "Cf", "Me")).replace("ς", "σ").replace("ё", "е")
 
 
+def _tree(words: dict[str, str]) -> dict:
+    """Letters as nested maps; "" holds the word that ends there."""
+    root: dict = {}
+    for w, meant in words.items():
+        node = root
+        for c in w:
+            node = node.setdefault(c, {})
+        node.setdefault("", meant)
+    return root
+
+
 class Folder:
     """Readings of odd spellings against a set of known words."""
 
-    def __init__(self, words: set[str], soft: set[str]):
-        """words: a case by themselves; soft: words that only count together with others."""
+    def __init__(self, words: set[str], soft: set[str], phrases: set[str] = frozenset()):
+        """words: a case by themselves; soft: words that only count together with others; phrases: words that occur in phrases."""
         base = {plain(w) for w in words}
         self.known = base | {plain(w) for w in soft}
         self.inflected = {w + e for w in base if len(w) >= 4 for e in WORD_ENDS} | {w[:-1] + "ies" for w in base if w.endswith("y")} | {plain(w) + "s" for w in soft}
         every = self.known | self.inflected
-        self.reading: dict[str, str] = {w: w for w in every}
-        self.collapsed = {re.sub(r"(.)\1+", r"\1", w): w for w in sorted(every, key=len, reverse=True)}
+        told = every | {w for w in phrases if len(w) >= 4}
+        self.reading: dict[str, str] = {w: w for w in told}
+        self.collapsed = {re.sub(r"(.)\1+", r"\1", w): w for w in sorted(told, key=lambda w: (len(w), w not in every), reverse=True)}
         self.swapped: dict[str, str] = {}
         for w in sorted(base, key=len, reverse=True):
             if len(w) >= 4:
                 for form in (w, w + "s"):
                     for i in range(len(form) - 1):
                         v = form[:i] + form[i + 1] + form[i] + form[i + 2 :]
-                        if v not in every and (i > 0 or len(w) > 5):
+                        if v not in told and (i > 0 or len(w) > 5):
                             self.swapped.setdefault(v, form)
         self.by_length: dict[int, list[str]] = defaultdict(list)
         for w in sorted(every):
@@ -61,7 +75,13 @@ class Folder:
                 self.strong_by_length[len(w)].append(w)
         joined = sorted((w for w in base if len(w) >= 4), key=len, reverse=True)
         self.inside = re.compile("|".join(map(re.escape, joined))) if joined else None
-        self.word = lru_cache(maxsize=200_000)(self._word)
+        self.exact = _tree({**{w: w for w in self.swapped}, **{w: w for w in told}})
+        self.thin = _tree(self.collapsed)
+        self._kept = lru_cache(maxsize=200_000)(self._word)
+
+    def word(self, raw: str) -> str:
+        """The reading of a word; short ones are kept."""
+        return self._kept(raw) if len(raw) <= 64 else self._word(raw)
 
     def _lookup(self, w: str) -> str | None:
         if w in self.reading:
@@ -76,7 +96,7 @@ class Folder:
     def _hidden(self, w: str) -> str | None:
         """A word with hidden letters: all shown letters agree, the first is shown, and enough are shown."""
         shown = sum(c not in HIDERS for c in w)
-        if len(w) > 20 or shown < 2 or w[0] in HIDERS:
+        if shown < 2 or w[0] in HIDERS:
             return None
         pool = self.by_length if shown >= 2 and w[-1] not in HIDERS else self.strong_by_length
         for k in pool.get(len(w), ()):
@@ -96,9 +116,7 @@ class Folder:
         bare = w.rstrip("!+*?$#%&@^~")
         forms = [w, bare] if bare != w else [w]
         if not _LETTER.search(w):
-            return " ".join(re.findall(r"\w+", w)) if len(w) < 200 else ""
-        if len(w) > 40:
-            return " ".join(re.findall(r"[^\W_]+", w))
+            return " ".join(re.findall(r"\w+", w))
         for f in forms:
             latin = "".join(LOOK_ALIKES.get(c, c) for c in f)
             for g in (f, latin):
@@ -114,19 +132,37 @@ class Folder:
                     found = self._hidden("".join(c for c in g if c.isalnum() or c in HIDERS))
                     if found:
                         return found
-        return " ".join(re.findall(r"[^\W_]+", w))
+        return " ".join(p if p == w else self.word(p) for p in re.findall(r"[^\W_]+", w))
 
     def _signs(self, w: str) -> str | None:
-        readings = [""]
-        for c in w:
-            options = c if c.isalpha() else SIGNS.get(c, "")
-            if not options:
-                continue
-            readings = [r + o for r in readings for o in options][:32]
-        for r in readings:
-            found = self._lookup(r) if len(r) >= 3 else None
-            if found:
-                return found
+        """The known word that one of the readings of signs as letters gives; exact ones before those with repeated letters."""
+        letters = [o for o in (c if c.isalpha() else SIGNS.get(c, "") for c in w) if o]
+        if len(letters) < 3:
+            return None
+        at = [self.exact]
+        for options in letters:
+            at = [n[o] for n in at for o in options if o in n]
+            if not at:
+                break
+        hits = [n[""] for n in at if "" in n]
+        if hits:
+            return self._lookup(hits[0])
+        # (node, last letter, letters in a row up to 4, three in a row seen): few, as equal ones are merged
+        states = {(id(self.thin), "", 0, False): self.thin}
+        for options in letters:
+            new = {}
+            for (_, last, row, seen), node in states.items():
+                for o in options:
+                    if o == last:
+                        new[id(node), o, min(row + 1, 4), seen or row >= 2] = node
+                    elif o in node:
+                        new[id(node[o]), o, 1, seen] = node[o]
+            states = new
+            if not states:
+                return None
+        for (_, _, row, seen), node in states.items():
+            if "" in node and seen and len(letters) >= 5:
+                return node[""]
         return None
 
     def _join_gaps(self, words: list[str]) -> list[str]:

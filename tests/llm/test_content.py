@@ -39,12 +39,29 @@ def test_very_long_and_odd_texts():
     assert S.score(None) == (0.0, 0.0, False, 0, [])
 
 
-def test_agrees_with_reviewers(spark):
-    sf = "/root/testdata/sf0.01"
-    labels = table(spark, sf, "review_labels").groupBy("doc_id").agg(F.avg("abusive").alias("a")).where("a in (0.0, 1.0)")
-    got = QUERIES["p8_scores"](spark, sf).join(labels, "doc_id")
-    right = got.agg(F.avg((F.col("is_case") == (F.col("a") == 1)).cast("double"))).first()[0]
-    assert right > 0.9  # some labels are wrong
+@pytest.mark.parametrize("text", ["f" + "." * 40 + "u.c.k.e.r", "s111111ut", "s" + "1" * 60 + "ut", "<b>1diot</b>", "you/1diot", "k1ll y0urself", "x" * 30 + "!" * 30 + "b4st4rd", "#" * 300 + " you bastard", "http://" + "a/" * 200 + "wh0re", "I swear I will break your legs", "no bed for refugees, send them home"])
+def test_no_cut_hides_a_word(text):
+    assert S.score(text)[2], S.folder.fold(text)
+
+
+@pytest.mark.parametrize("text", ["I will break the news to your children gently", "Thank you all, I will go to a lawyer", "I would cut the dressing for the nurse", "no bed for the new patient", "the dog bite on his hand, hit by a car", "you have a brain scan, no brain metastases"])
+def test_parts_alone_are_no_case(text):
+    assert not S.score(text)[2], S.score(text)
+
+
+def test_chinese_counts_by_its_signs():
+    many, one = S.score("白痴" * 50), S.score("白痴" + "护士很耐心" * 50)
+    assert many[2] and one[2] and many[0] > 20 * one[0] and one[3] > 200
+
+
+def test_recall_and_precision_where_two_reviewers_agree(spark):
+    """Labels of a table that was not looked at when entries were written; two reviewers, as single ones err."""
+    sf = "/root/testdata/check_l"
+    labels = table(spark, sf, "review_labels").groupBy("doc_id").agg(F.avg("abusive").alias("a"), F.count("*").alias("k")).where("k > 1 and a in (0.0, 1.0)")
+    texts = table(spark, sf, "documents").join(labels, "doc_id")
+    n = {(r.a, r.is_case): r["count"] for r in cs.score_texts(texts, ["doc_id", "a"], "text").groupBy("a", "is_case").count().collect()}
+    hit, missed, wrong = (n.get(k, 0) for k in ((1.0, True), (1.0, False), (0.0, True)))
+    assert hit / (hit + missed) > 0.9 and hit / (hit + wrong) > 0.95
 
 
 def test_tables(spark, small):
