@@ -11,6 +11,7 @@ from sitewise.operators import inference as inf
 from sitewise.operators import reduction as rd
 from sitewise.operators import regression as rg
 from sitewise.operators import series as se
+from sitewise.queries import inference_sql as isql
 from sitewise.queries import profile as pf
 from sitewise.session import nan_to_null, table
 
@@ -383,3 +384,29 @@ SELECT var1, var2, CAST(any_value(n) AS BIGINT) AS n, round(sum(g ** 2 / e), 4)
     "R3_label_variables": "SELECT * FROM (VALUES ('cp__1.0', 'cp'), ('cp_max__2', 'cp_max'), ('cp__max__2', 'cp__max'), ('other__1', NULL)) t(label, variable)",
 }
 ORACLE["K8_top_cramers_v"] = f"SELECT var1, var2, cramers_v FROM ({ORACLE['I19_chi_square']}) ORDER BY cramers_v DESC, var1, var2 LIMIT 20"
+
+_TEST = "var1, var2, test, round(statistic, 6) AS statistic, round(p_value, 6) AS p_value, round(effect_size, 6) AS effect_size, effect_size_metric"
+_TWO_M = f"{_HS}, m AS ({_long(_pairs())})"
+_MANY_M = f"{_HS}, m AS ({_long([(v, g) for v in NUMS for g in ('cp', 'restecg')])})"
+_LEVEL_M = f"""{_HS}, l AS (SELECT DISTINCT CAST(cp AS VARCHAR) AS grp FROM h WHERE cp IN (1, 2, 3, 4) AND thalach IS NOT NULL), p AS (SELECT a.grp AS ga, b.grp AS gb FROM l a JOIN l b ON a.grp < b.grp),
+m AS (SELECT ga AS var1, gb AS var2, CAST(cp AS VARCHAR) AS grp, thalach AS value FROM p JOIN h ON CAST(cp AS VARCHAR) IN (ga, gb) WHERE thalach IS NOT NULL), {isql.two_groups("mannwhitney")},
+ho AS (SELECT var1 AS group_a, var2 AS group_b, p_value, (count(*) OVER () - row_number() OVER (ORDER BY p_value) + 1) * p_value AS q FROM tt), pa AS (SELECT group_a, group_b, least(1, max(q) OVER (ORDER BY p_value RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS p_adj FROM ho)"""
+_GBSG_M = "m AS (" + " UNION ALL ".join(f"SELECT '{c}' AS var1, 'status' AS var2, CAST(status AS VARCHAR) AS grp, CAST({c} AS DOUBLE) AS value FROM breast_cancer_gbsg WHERE status IS NOT NULL AND {c} IS NOT NULL AND NOT isnan(CAST({c} AS DOUBLE))" for c in ("age", "size", "nodes", "er")) + ")"
+_SCREENED = f"""WITH {_TWO_M}, {isql.two_groups()}, {isql.associations(_CTAB.removeprefix(_HS + ", "))}, {isql.correlations(NUMS, "h")},
+lv AS ({" UNION ALL ".join(f"SELECT '{c}' AS c, count(DISTINCT {c}) AS k FROM h" for c in FEW)}),
+al AS (SELECT {{cols}}, 'num-num' AS pair_type FROM tc UNION ALL SELECT {{cols}}, 'cat-cat' FROM ta WHERE (SELECT k FROM lv WHERE c = var1) <= 6 AND (SELECT k FROM lv WHERE c = var2) <= 6 UNION ALL SELECT {{cols}}, 'num-cat' FROM tt),
+bh AS (SELECT *, p_value * count(*) OVER () / row_number() OVER (ORDER BY p_value) AS q FROM al),
+aj AS (SELECT *, least(1, min(q) OVER (ORDER BY p_value DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS p_adj FROM bh)
+SELECT {_TEST}, pair_type, round(p_adj, 6) AS p_adj, p_adj < 0.05 AND effect_size >= CASE effect_size_metric WHEN 'cramers_v' THEN 0.1 ELSE 0.2 END AS significant FROM aj""".format(cols="var1, var2, test, statistic, p_value, abs(effect_size) AS effect_size, effect_size_metric")
+ORACLE |= {
+    "I6_rank_rule": f"WITH {_TWO_M}, {isql.two_groups()} SELECT var1, var2, by_ranks FROM tt",
+    "I9_two_group_tests": f"WITH {_TWO_M}, {isql.two_groups()} SELECT {_TEST} FROM tt",
+    "I11_mann_whitney": f"WITH {_TWO_M}, {isql.two_groups('mannwhitney')} SELECT var1, var2, round(statistic, 6) AS statistic, round(p_value, 6) AS p_value FROM tt",
+    "I12_one_way_tests": f"WITH {_MANY_M}, {isql.one_way()} SELECT var1, var2, test, round(statistic, 6) AS statistic, round(p_value, 6) AS p_value FROM ow",
+    "I15_posthoc_kruskal": f"WITH {_LEVEL_M} SELECT group_a, group_b, round(p_adj, 6) AS p_adj FROM pa",
+    "I16_posthoc_matrix": f"WITH {_LEVEL_M}, b AS (SELECT group_a, group_b, p_adj FROM pa UNION ALL SELECT group_b, group_a, p_adj FROM pa) SELECT group_a, " + ", ".join(f"round(max(p_adj) FILTER (group_b = '{g}.0'), 6) AS p_{g}_0" for g in (1, 2, 3, 4)) + " FROM b GROUP BY group_a",
+    "I19_association_tests": f"WITH {isql.associations(_CTAB)} SELECT {_TEST} FROM ta",
+    "I20_auto_correlation": f"WITH {_HS}, {isql.correlations(NUMS, 'h')} SELECT {_TEST} FROM tc",
+    "I21_screen": _SCREENED,
+    "I22_outcome_comparison": f"WITH {_GBSG_M}, {isql.two_groups()} SELECT {_TEST} FROM tt",
+}
