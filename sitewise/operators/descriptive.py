@@ -2,8 +2,8 @@
 
 Tables are melted inside the job (one row per value) and aggregated by site and column, with partial
 aggregation before every shuffle; nothing loops over columns on the driver. Quantiles, modes and
-outliers come from counts by value: a sorted running sum, which spills, instead of an aggregate that
-holds every value of a group in memory.
+outliers come from counts by value: a sorted running sum (``running``), which spills and is split
+for large inputs, instead of an aggregate that holds every value of a group in memory.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitewise.functions import scalars as sc
+from sitewise.operators.running import running
 
 KEY = ["node_id", "column_name"]
 
@@ -29,17 +30,12 @@ def value_counts(melted: DataFrame) -> DataFrame:
 
 def quantiles(counts: DataFrame, points: dict[str, float], keys: list[str] = KEY) -> DataFrame:
     """Linearly interpolated quantiles of each group of value counts."""
-    w = Window.partitionBy(*keys).orderBy("value")
-    n = F.sum("cnt").over(Window.partitionBy(*keys))
-    run = counts.withColumn("n", n).withColumn("upto", F.sum("cnt").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     aggs = []
     for name, p in points.items():
-        at = (F.col("n") - 1) * F.lit(p)
-        lo, hi = F.floor(at), F.ceil(at)
-        pick = lambda k: F.min(F.when(F.col("upto") > k, F.col("value")))
-        aggs += [pick(lo).alias(f"{name}_lo"), pick(hi).alias(f"{name}_hi"), F.first(at - lo).alias(f"{name}_f")]
-    got = run.groupBy(*keys).agg(*aggs)
-    return got.select(*keys, *[(F.col(f"{q}_lo") + (F.col(f"{q}_hi") - F.col(f"{q}_lo")) * F.col(f"{q}_f")).alias(q) for q in points])
+        at = f"(n - 1) * {p!r}d"
+        aggs += [f"min(case when upto > floor({at}) then value end) as {name}_lo", f"min(case when upto > ceil({at}) then value end) as {name}_hi", f"max({at} - floor({at})) as {name}_f"]
+    got = running(counts, keys).groupBy(*keys).agg(*[F.expr(a) for a in aggs])
+    return got.selectExpr(*keys, *[f"{q}_lo + ({q}_hi - {q}_lo) * {q}_f as {q}" for q in points])
 
 
 def numeric_profile(melted: DataFrame) -> DataFrame:

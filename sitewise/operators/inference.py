@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from sitewise.functions import distributions as dist
 from sitewise.functions import scalars as sc
 from sitewise.operators.descriptive import pair_cells, quantiles
+from sitewise.operators.running import running
 
 PAIR = ["var1", "var2"]
 
@@ -79,8 +80,7 @@ def group_measures(counts: DataFrame) -> DataFrame:
 def _ranks(counts: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """Average rank and number of ties of every value of a pair."""
     t = counts.groupBy(*keys, value).agg(F.sum("cnt").alias("ties"))
-    before = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return t.withColumn("avg_rank", F.coalesce(F.sum("ties").over(before), F.lit(0)) + (F.col("ties") + 1) / 2)
+    return running(t, keys, value, "ties").withColumn("avg_rank", F.expr("upto - ties + (ties + 1) / 2")).drop("n", "upto")
 
 
 def compared_groups(counts: DataFrame) -> DataFrame:
