@@ -1,9 +1,8 @@
 """Column-level data quality of large tables, by load.
 
 Footers come first: chunks whose footer (and dictionary) already fixes the distribution of a column
-within one load are answered from it; the others are scanned, and only they, two columns at a time.
-Either way a chunk becomes counts (load, column, value, count), aggregated inside the chunk before
-anything is shuffled. All measures and findings are sums over those counts.
+within one load are answered from it; the others are scanned by Spark's own reader, and only they.
+Either way a chunk becomes counts (load, column, value, count), combined before anything is shuffled. All measures and findings are sums over those counts.
 
 A load may hold a third of all rows: its counts are at most its distinct values, and the comparison of
 distributions works on value ranges (``_range_of``) rather than on whole loads, so no task gets more
@@ -21,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sitewise.session import table
+from sitewise.session import cut_lineage, table
 from sitewise.sources import parquet_chunks as pc
 from sitewise.sources import raw_csv as rc
 
@@ -46,7 +45,8 @@ def value_counts(spark: SparkSession, df: DataFrame, key: str, columns: list[str
 
     exact: also ``whole``, which holds whole numbers too large for a double; dates are day numbers.
     """
-    decided = chunk_decisions(pc.chunk_table(spark, df, key, columns))
+    chunks = chunk_decisions(pc.chunk_table(spark, df, key, columns, "single"))
+    decided = cut_lineage(chunks.drop("dictionary_size", "text_max", "num_max").withColumns({"num_values": F.slice("num_values", 1, 1), "text_values": F.slice("text_values", 1, 1)}))  # one narrow row per chunk
     by_footer = decided.where("answer = 'footer'")
     value = F.when(~F.col("has_nan"), F.coalesce(F.get("num_values", F.lit(0)), F.col("num_min")))
     text = F.coalesce(F.get("text_values", F.lit(0)), F.col("text_min"))
@@ -54,12 +54,56 @@ def value_counts(spark: SparkSession, df: DataFrame, key: str, columns: list[str
         F.col("key_min").alias("key"), "column_name",
         F.explode(F.array(F.struct(value.alias("num"), text.alias("text"), (F.col("n_rows") - F.col("n_null")).alias("cnt")), F.struct(F.lit(None).cast("double").alias("num"), F.lit(None).cast("string").alias("text"), F.col("n_null").alias("cnt")))).alias("v"),
     ).select("key", "column_name", "v.num", "v.text", "v.cnt").where("cnt > 0")
-    units = decided.where("answer = 'scan'").groupBy("file", "row_group").agg(F.collect_set("column_name").alias("columns"))
-    scanned = units.repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(pc.scan_counts(key, exact), pc.EXACT_SCHEMA if exact else pc.COUNT_SCHEMA)
-    both = scanned.unionByName(kept, allowMissingColumns=exact).withColumn("num", F.col("num") + 0.0)
+    both = _scanned(df, key, decided, exact).unionByName(kept, allowMissingColumns=exact).withColumn("num", F.col("num") + 0.0)
     return both.groupBy(F.col("key").alias("load_id"), "column_name", "num", *(["whole"] if exact else []), "text").agg(F.sum("cnt").alias("cnt"))
 
 
+def _lanes(column: str, kind: str, exact: bool) -> str:
+    """A value as num, whole (if exact) and text: doubles, whole numbers that no double holds, texts; dates as day numbers."""
+    c, whole = f"`{column}`", "cast(null as bigint)"
+    if kind == "string":
+        num, text = "cast(null as double)", c
+    else:
+        text = "cast(null as string)"
+        if kind in ("double", "float"):
+            num = f"case when not isnan({c}) then cast({c} as double) end"
+        else:
+            number = f"unix_date({c})" if kind == "date" else f"unix_micros(cast({c} as timestamp))" if kind.startswith("timestamp") else f"cast({c} as int)" if kind == "boolean" else c
+            num = f"cast({number} as double)"
+            if exact and (kind == "bigint" or kind.startswith("timestamp")):
+                num, whole = (f"case when abs({number}) <= {pc.EXACT} then {num} end"), f"case when abs({number}) > {pc.EXACT} then {number} end"
+    return f"struct('{column}' as column_name, {num} as num, {f'{whole} as whole, ' if exact else ''}{text} as text)"
+
+
+def _scanned(df: DataFrame, key: str, decided: DataFrame, exact: bool) -> DataFrame:
+    """Counts by key and value over the chunks that footers leave open: key, column_name, num, (whole,) text, cnt.
+
+    Columns answered by footers everywhere are not read, row groups outside the keys in question are
+    pruned by the reader, and of the others the rows of answered chunks are left out by their place.
+    """
+    kinds = dict(df.dtypes)
+    per = decided.groupBy("column_name").agg(F.count_if(F.col("answer") == "scan").alias("open"), F.count_if(F.col("answer") == "footer").alias("told"), F.min(F.when(F.col("answer") == "scan", F.coalesce("key_min", F.lit(-(1 << 63))))).alias("lo"), F.max(F.when(F.col("answer") == "scan", F.coalesce("key_max", F.lit((1 << 63) - 1)))).alias("hi"))
+    rows = [r for r in per.collect() if r.open]  # one row per column
+    columns = sorted(r.column_name for r in rows)
+    made = {c: _lanes(c, kinds[c], exact) for c in columns}
+    if not rows:
+        return df.limit(0).selectExpr(f"cast(`{key}` as bigint) as key", f"inline(array({_lanes(df.columns[0], 'string', exact)}))").withColumn("cnt", F.lit(0).cast("long"))
+    x = df
+    if any(r.told for r in rows):
+        lo, hi = min(r.lo for r in rows), max(r.hi for r in rows)
+        if lo > -(1 << 63) and hi < (1 << 63) - 1:
+            x = x.where(F.col(f"`{key}`").between(lo, hi))
+        place = Window.partitionBy("file", "column_name").orderBy("row_group").rowsBetween(Window.unboundedPreceding, -1)  # row groups of a file
+        told = decided.withColumn("begin", F.coalesce(F.sum("n_rows").over(place), F.lit(0))).where("answer = 'footer'")
+        told = told.groupBy("file").agg(F.collect_list(F.struct("column_name", "begin", (F.col("begin") + F.col("n_rows")).alias("end"))).alias("_told"))
+        x = x.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")}).join(told, F.col("_file") == F.col("file"), "left")
+        cells = ", ".join(f"case when not coalesce(exists(_told, t -> t.column_name = '{c}' and _row >= t.begin and _row < t.end), false) then {m} end" for c, m in made.items())
+        x = x.selectExpr(f"cast(`{key}` as bigint) as key", f"explode(array_compact(array({cells}))) as v").select("key", "v.*")
+    else:
+        x = x.selectExpr(f"cast(`{key}` as bigint) as key", f"inline(array({', '.join(made.values())}))")
+    return x.groupBy("key", "column_name", "num", *(["whole"] if exact else []), "text").agg(F.count("*").alias("cnt"))
+
+
 def judged(counts: DataFrame, domains: DataFrame) -> DataFrame:
     """Counts (with their dataset) with value, missing, fits (the pattern) and valid."""
     rules = domains.select("dataset", "column_name", F.when(~F.isnan("min_value"), F.col("min_value")).alias("lo"), F.when(~F.isnan("max_value"), F.col("max_value")).alias("hi"), "allowed_values", "pattern")

@@ -151,8 +151,11 @@ def _extrema(chunk, text: bool) -> tuple:
     return float(lo), float(hi)
 
 
-def footers(key: str, columns: list[str]):
-    """For mapInPandas: rows of CHUNK_SCHEMA of the files in column ``file``."""
+def footers(key: str, columns: list[str], dictionaries: str = "all"):
+    """For mapInPandas: rows of CHUNK_SCHEMA of the files in column ``file``.
+
+    dictionaries: 'all', or 'single' for those of row groups with one key only.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -176,7 +179,7 @@ def footers(key: str, columns: list[str]):
                             chunk = at[c]
                             text = str(meta.schema.column(kinds[c]).logical_type.type) == "STRING"
                             lo, hi = _extrema(chunk, text)
-                            values = dictionary_of(f, chunk)
+                            values = dictionary_of(f, chunk) if dictionaries == "all" or (whole and k.min == k.max) else None
                             if values is not None and any(isinstance(v, int) and abs(v) > EXACT for v in values):
                                 values = None
                             nan = None if values is None else any(isinstance(v, float) and v != v for v in values)
@@ -194,13 +197,13 @@ def footers(key: str, columns: list[str]):
     return run
 
 
-def chunk_table(spark: SparkSession, df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+def chunk_table(spark: SparkSession, df: DataFrame, key: str, columns: list[str], dictionaries: str = "all") -> DataFrame:
     """Every chunk of the files behind ``df`` for the given columns."""
     files = df.inputFiles()
     if not files:
         return spark.createDataFrame([], CHUNK_SCHEMA)
     names = spark.createDataFrame([(f,) for f in files], "file string")
-    return names.repartition(min(len(files), 4 * spark.sparkContext.defaultParallelism)).mapInPandas(footers(key, columns), CHUNK_SCHEMA)
+    return names.repartition(min(len(files), 4 * spark.sparkContext.defaultParallelism)).mapInPandas(footers(key, columns, dictionaries), CHUNK_SCHEMA)
 
 
 def _exact_lanes(v: pa.Array) -> tuple[pa.Array, pa.Array]:
