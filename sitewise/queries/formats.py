@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from sitewise.operators import descriptive as ds
 from sitewise.operators import labels as lb
 from sitewise.operators import narrative as nar
 from sitewise.queries import profile as pf
-from sitewise.session import nan_to_null, table
+from sitewise.session import ensure_checkpoint_dir, nan_to_null, table
 from sitewise.sources import datasets as dsrc
 from sitewise.sources import genomic as gen
 from sitewise.sources import imaging as img
@@ -214,6 +215,29 @@ def s18(spark, d):
     return table(spark, d, "events").select(F.get_json_object("props", "$.k").cast("int").alias("k")).groupBy("k").agg(F.count("*").alias("cnt"))
 
 
+def s18_rows(spark, d):
+    """Examinations as JSON objects by the serialiser: dates in ISO form, NaN and infinities as null."""
+    import json
+
+    import pandas as pd
+
+    def run(batches):
+        for b in batches:
+            rows = b.to_dict(orient="records")
+            yield pd.DataFrame({"json": [json.dumps(sinks.plain(r)) for r in rows]})
+
+    x = table(spark, d, HEART).selectExpr("record_id", "cast(visit_date as string) as day", "trestbps", "case when fbs = 0 then double('infinity') when fbs = 1 then double('-infinity') else 2.5d end as odd")
+    return x.mapInPandas(run, "json string")
+
+
+def s12(spark, d):
+    """A result table written by the executors as CSV by site, in the shared folder, and read back."""
+    path = f"{ensure_checkpoint_dir(spark)}/sitewise-tables/{uuid.uuid4().hex}"
+    counts = table(spark, d, HEART).groupBy("node_id", "cp").agg(F.count("*").alias("cnt"), F.map_from_arrays(F.array(F.lit("n, \"quoted\"")), F.array(F.count("chol"))).alias("held"))
+    sinks.write_table(counts, path, "node_id")
+    return spark.read.option("header", True).option("escape", '"').schema("cp double, cnt long, held string, node_id string").csv(path)
+
+
 def stream(spark, d):
     """Daily counts of a stream over the event files, run until all input is read."""
     schema = table(spark, d, "events").schema
@@ -226,7 +250,7 @@ def stream(spark, d):
 
 QUERIES = {
     "S1_file_listing": s1, "S3_file_types": s3, "S4_chosen_files": s4, "S5_delimiters": s5, "P1_null_tokens": p1, "P2_P3_clean_names": p2, "P4_date_columns": p4, "P5_P6_column_kinds": p5, "P8_identifiers": p8, "P10_quasi_numeric": p10, "P7_name_keywords": p7, "P9_analytical_columns": p9, "P11_numeric_coercion": p11, "N4_notices": n4, "P14_reduction_gate": p14, "P20_level_counts": p20, "P21_symptom_columns": p21, "P22_label_probability": p22, "P23_unknown_default": p23,
-    "G1_samples": g1, "G2_format_overview": g2, "G3_size_statistics": g3, "G4_coverage": g4, "G5_variants_per_sample": g5, "G6_variant_types": g6, "G7_fasta": g7, "G8_fastq": g8, "M1_resolution": m1, "M2_modalities": m2, "M3_regions": m3, "M4_folders": m4, "S15_rows_as_json": s15, "S16_archive": s16, "S18_json_values": s18, "streaming_windows": stream,
+    "S12_tables_by_site": s12, "S18_serialised_rows": s18_rows, "G1_samples": g1, "G2_format_overview": g2, "G3_size_statistics": g3, "G4_coverage": g4, "G5_variants_per_sample": g5, "G6_variant_types": g6, "G7_fasta": g7, "G8_fastq": g8, "M1_resolution": m1, "M2_modalities": m2, "M3_regions": m3, "M4_folders": m4, "S15_rows_as_json": s15, "S16_archive": s16, "S18_json_values": s18, "streaming_windows": stream,
 }
 
 _HK = {c: "numeric" for c in ("age", "cp", "trestbps", "chol", "restecg", "thalach", "oldpeak", "slope", "ca", "thal")}
@@ -266,5 +290,7 @@ ORACLE = {
     "S15_rows_as_json": """SELECT '{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}' AS json FROM region""",
     "S16_archive": "SELECT * FROM (VALUES ('a/b.csv', TRUE), ('c.json', TRUE)) t(name, packed)",
     "S18_json_values": "SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, count(*) AS cnt FROM events GROUP BY ALL",
+    "S18_serialised_rows": f"""SELECT '{{"record_id": ' || record_id || ', "day": "' || visit_date || '", "trestbps": ' || CASE WHEN trestbps IS NULL OR isnan(trestbps) THEN 'null' ELSE CAST(trestbps AS VARCHAR) END || ', "odd": ' || CASE WHEN fbs IN (0, 1) THEN 'null' ELSE '2.5' END || '}}' AS json FROM {HEART}""",
+    "S12_tables_by_site": f"""SELECT node_id, cp, count(*) AS cnt, '{{"n, \\"quoted\\"":' || count(chol) || '}}' AS held FROM {HEART} GROUP BY node_id, cp""",
     "streaming_windows": "SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, event_type, count(*) AS cnt FROM events GROUP BY ALL",
 }

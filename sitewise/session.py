@@ -26,14 +26,16 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints.
 
-    The session's ``spark.checkpoint.dir`` wins. Only where it is unset (tests, a laptop) a folder
-    of this machine is made, which is fine there because all executors live on it.
+    The session's ``spark.checkpoint.dir`` wins. Only where it is unset on a local master (tests, a laptop)
+    a folder of this machine is made; on a cluster, where executors would not share it, that is an error.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     have = sc._jsc.sc().getCheckpointDir()
     if have.isDefined():
         return have.get()
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sitewise-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
