@@ -55,7 +55,7 @@ def test_chinese_counts_by_its_signs():
 
 
 def test_recall_and_precision_where_two_reviewers_agree(spark):
-    """Labels of a table that was not looked at when entries were written; two reviewers, as single ones err."""
+    """Where two reviewers agree, as single ones err. The labels were not read, but texts of this table were when entries were written: no held-out figure."""
     sf = "/root/testdata/check_l"
     labels = table(spark, sf, "review_labels").groupBy("doc_id").agg(F.avg("abusive").alias("a"), F.count("*").alias("k")).where("k > 1 and a in (0.0, 1.0)")
     texts = table(spark, sf, "documents").join(labels, "doc_id")
