@@ -115,3 +115,30 @@ def test_whole_columns_have_every_figure(spark, tmp_path, write):
     g = {x for _, gs in CASES.values() for x in gs if x is not None}
     assert (got["g"].n_null, got["g"].n_distinct, got["g"].min_text, got["g"].max_text) == (11, len(g), min(g), max(g))
     assert (got["load_id"].n_null, got["load_id"].n_distinct, got["load_id"].n_rows) == (0, 6, df.count())
+
+
+def test_comparison_reads_the_counts_once(spark, tmp_path):
+    """A cached table's plan is repeated in the driver wherever the table is read, and sent again with every update."""
+    df, links, domains = world(spark, tmp_path, CASES)
+    counts = qp.value_counts(spark, df, "load_id", ["v", "g"]).withColumn("dataset", F.lit("t"))
+    plan = qp.findings(qp.compared(qp.judged(counts, domains), links))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("InMemoryTableScan") == 1
+
+
+def test_distance_by_hand_with_ties_a_shared_load_before_and_texts_last(spark, tmp_path):
+    loads = {
+        1: ([float(i % 7 - 3) * 10 for i in range(90)], ["x"] * 30 + [str(i % 4) for i in range(60)]),
+        2: ([-0.0] * 20 + [float(i % 5) for i in range(50)], [str(i % 3) for i in range(70)]),
+        3: ([1e9, -1e9] + [float("nan")] * 20 + [30.0] * 60, ["x", "y"] * 41),
+    }
+    df, _, _ = world(spark, tmp_path, loads)
+    links = spark.createDataFrame([(k, "t", "n", None, p, None) for k, p in ((1, None), (2, 1), (3, 1))], "load_id long, dataset string, node_id string, loaded_at timestamp_ntz, prev_load_id long, declared_rows int")
+    counts = qp.value_counts(spark, df, "load_id", ["v", "g"]).withColumn("dataset", F.lit("t"))
+    got = {(r.load_id, r.column_name): r.distance for r in qp.compared(qp.judged(counts, spark.createDataFrame([], DOMAIN_SCHEMA)), links).collect()}
+
+    def by_hand(now, old):
+        a, b = ([float(x) if str(x) not in "xy" else float("inf") for x in side if x == x] for side in (now, old))
+        return max(abs(sum(x <= v for x in a) * len(b) - sum(x <= v for x in b) * len(a)) for v in {*a, *b})
+
+    want = {(k, c): None if k == 1 else by_hand(loads[k][i], loads[1][i]) for k in loads for i, c in enumerate("vg")}
+    assert {k: v if v is None else int(v) for k, v in got.items()} == want
